@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import format_dupes, leakage, neighbours, truncation
+from strandweave.llm import format_dupes, incremental, leakage, mixture, neighbours, truncation
 from strandweave.sources.tables import ref_id, table
 
 
@@ -38,6 +38,10 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return n.select("tbl", neighbours.unpack_id(F.col("id")).alias("id"), neighbours.unpack_id(F.col("neighbour")).alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.link_batches(table(spark, d, "span"), table(spark, d, "buffer"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), ["question", "gold_answer"])
 
@@ -55,6 +59,23 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.min("n_edits").alias("n_edits"))
 
 
+def _mixed(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_target"), **kw)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares_report(_mixed(spark, d), table(spark, d, "source_target"))
+
+
+def p7_fixed_size_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached where the mixture must be as large as what its sources hold."""
+    return mixture.shares_report(_mixed(spark, d, all_tokens=True), table(spark, d, "source_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents")).where("cut").select("doc_id")
 
@@ -90,7 +111,7 @@ w AS (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_nearest, p6_found, p6_leaks, p6_items, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_nearest, p5_found, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_fixed_size_shares, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -68,7 +68,7 @@ def closing_line(line: str) -> str:
 
 def judge(text: str) -> tuple[str | None, str | None, str | None]:
     """(reason, closing line, last word). A reason alone: certainly cut. A line: cut unless the corpus closes so.
-    A word: cut if the corpus does not know it as the end of a line. All null: whole."""
+    A line and a word: cut if the corpus neither closes so nor knows the word as the end of a line. All null: whole."""
     body = text.rstrip()
     if not body:
         return None, None, None
@@ -96,7 +96,7 @@ def judge(text: str) -> tuple[str | None, str | None, str | None]:
     run = _RUN.findall(last)
     word = run[-1] if run and last.endswith(run[-1]) else None
     if _HEAD.match(last) or _ITEM.match(last) or _POINTER.match(last):
-        return ("cut word", None, word) if word else (None, None, None)
+        return ("cut word", closing_line(last), word) if word else (None, None, None)
     if re.fullmatch(r"#+|[-*+•]", last):
         return "open item", None, None
     if last.endswith("..."):
@@ -144,28 +144,22 @@ def _word_places(docs: DataFrame) -> DataFrame:
 
 def source_baselines(feat: DataFrame, least: int = 5, pile: float = 0.005, habit: float = 0.5) -> DataFrame:
     """source -> its limits in characters and bytes (null: none), and whether missing terminators are its habit."""
-    top = feat.groupBy("source").agg(
+    one = feat.withColumnRenamed("source", "src")
+    top = one.groupBy("src").agg(
         F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("mc"), F.max("n_bytes").alias("mb"), F.avg(F.when(F.col("reason") == "no terminator", 1.0).otherwise(0.0)).alias("bare")
     )
+    sizes = one.groupBy(F.col("src").alias("s"), "n_chars", "n_bytes").agg(F.count(F.lit(1)).alias("c"))
     at = (
-        feat.groupBy("source", "n_chars", "n_bytes")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .join(top, F.col("source").eqNullSafe(top["source"]))
-        .select(
-            top["source"],
-            "n",
-            "mc",
-            "mb",
-            "bare",
-            F.when(F.col("n_chars") == F.col("mc"), F.col("c")).otherwise(0).alias("at_mc"),
-            F.when(F.col("n_bytes") > F.col("mb") - 4, F.col("c")).otherwise(0).alias("at_mb"),
+        sizes.join(top, F.col("s").eqNullSafe(F.col("src")))
+        .groupBy("src", "n", "mc", "mb", "bare")
+        .agg(
+            F.sum(F.when(F.col("n_chars") == F.col("mc"), F.col("c")).otherwise(0)).alias("at_mc"),
+            F.sum(F.when(F.col("n_bytes") > F.col("mb") - 4, F.col("c")).otherwise(0)).alias("at_mb"),
         )
-        .groupBy("source", "n", "mc", "mb", "bare")
-        .agg(F.sum("at_mc").alias("at_mc"), F.sum("at_mb").alias("at_mb"))
     )
     piled = lambda c: F.col(c) >= F.greatest(F.lit(least), F.col("n") * pile)
     return at.select(
-        F.col("source").alias("src"), F.when(piled("at_mc"), F.col("mc")).alias("limit_chars"), F.when(piled("at_mb"), F.col("mb")).alias("limit_bytes"), (F.col("bare") > habit).alias("habit")
+        "src", F.when(piled("at_mc"), F.col("mc")).alias("limit_chars"), F.when(piled("at_mb"), F.col("mb")).alias("limit_bytes"), (F.col("bare") > habit).alias("habit")
     )
 
 
@@ -178,13 +172,13 @@ def judged(docs: DataFrame, share: float = 0.0005, salts: int = 16) -> DataFrame
     asked = feat.where("word IS NOT NULL").select("word").distinct()
     known = asked.join(_word_places(docs), "word", "left").na.fill(0, ["inside", "ends"])
     odd = known.where("(ends = 0 AND (inside = 0 OR inside >= 20)) OR (ends > 0 AND inside > 1000 * ends)").select("word", F.lit(True).alias("odd"))
-    base = source_baselines(feat).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    base = source_baselines(feat).withColumn("base_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     f = feat.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     f = f.join(closers, "line", "left").join(odd, "word", "left")
-    f = f.join(base, F.col("source").eqNullSafe(F.col("src")) & (f["salt"] == base["salt"]), "left")
+    f = f.join(base, F.col("source").eqNullSafe(F.col("src")) & (F.col("salt") == F.col("base_salt")), "left")
     limit = (F.col("n_chars") == F.col("limit_chars")) | (F.col("n_bytes") > F.col("limit_bytes") - 4)
     unsure = (
-        F.when(F.col("word").isNotNull(), F.coalesce("odd", F.lit(False)))
+        F.when(F.col("word").isNotNull(), F.coalesce("odd", F.lit(False)) & ~F.coalesce("closes", F.lit(False)))
         .when((F.col("reason") == "no terminator"), ~F.coalesce("closes", F.lit(False)) & ~F.col("habit"))
         .when(F.col("line").isNotNull(), ~F.coalesce("closes", F.lit(False)))
         .otherwise(F.col("reason").isNotNull())
