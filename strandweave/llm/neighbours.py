@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.session import materialise
+
 SAMPLE = 20_000
 SCALE = 32_767
 
@@ -48,18 +50,22 @@ def _codes(x: np.ndarray) -> np.ndarray:
     return np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * SCALE).astype("<i2")
 
 
+def _usable_codes(emb: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of usable vectors, their codes)."""
+    ok = pc.fill_null(pc.equal(pc.list_value_length(emb), dim), False).to_numpy(zero_copy_only=False)
+    x = emb.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    ok = ok.copy()
+    ok[np.flatnonzero(ok)[~good]] = False
+    return ok, _codes(x[good]) if good.any() else np.zeros((0, dim), "<i2")
+
+
 def encode(df: DataFrame, dim: int) -> DataFrame:
     """(tbl, id, embedding) -> (tbl, id, code) for the usable vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            emb = b.column("embedding")
-            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(emb), dim), False))
-            if not b.num_rows:
-                continue
-            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-            code = _codes(x[ok])
+            ok, code = _usable_codes(b.column("embedding"), dim)
             kept = b.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([kept.column("tbl"), kept.column("id"), pa.array([r.tobytes() for r in code], pa.binary())], ["tbl", "id", "code"])
 
@@ -211,86 +217,100 @@ def neighbours(tables: dict[str, DataFrame], dim: int = 64, k: int = 5, min_simi
     """
     floor = -2.0 if min_similarity is None else float(min_similarity)
     rows = reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("tbl"), pack_id(F.col("id").cast("string")).alias("id"), "embedding") for n, d in tables.items()])
-    coded = encode(rows, dim)
-    classes = coded.groupBy("tbl", "code").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    planes = {}
+    rows = rows.where("id IS NOT NULL AND embedding IS NOT NULL")
     spark = rows.sparkSession
-    for n, d in tables.items():
-        total = d.where("embedding IS NOT NULL").count()
-        levels = max(0, math.ceil(math.log2(max(1, total) / leaf_rows)))
-        if levels:
-            some = d.select(F.lit(n).alias("tbl"), pack_id(F.col("id").cast("string")).alias("id"), "embedding").withColumn("h", F.xxhash64("id")).orderBy("h").limit(SAMPLE)
-            x = np.stack([np.frombuffer(bytes(r["code"]), "<i2") for r in encode(some, dim).collect()] or [np.ones(dim, "<i2")])
-            levels = min(levels, max(1, int(math.log2(max(2, len(x) / 16)))))
-            planes[n] = fit_routes(_unit(x), levels)
-    shared = spark.sparkContext.broadcast(planes)
+    shared = spark.sparkContext.broadcast({n: _routes_of(d, n, dim, leaf_rows) for n, d in tables.items()})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes of a task's rows without copies: each with its k + 1 smallest ids, and whether there are more."""
+        held: dict[tuple[str, bytes], list] = {}
         for b in batches:
-            tbl = np.array(b.column("tbl").to_pylist(), object)
-            for n in set(tbl.tolist()):
-                part = b.filter(pa.array(tbl == n))
-                if n in shared.value:
-                    x = _unit(np.frombuffer(b"".join(part.column("code").to_pylist()), "<i2").reshape(-1, dim))
-                    row, leaf = routes(x, *shared.value[n], margin, most_routes)
-                else:
-                    row, leaf = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
-                p = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([p.column("tbl"), pa.array(leaf.astype(np.int32)), p.column("lo"), p.column("several"), p.column("code")], ["tbl", "leaf", "lo", "several", "code"])
-
-    routed = classes.select("tbl", "code", "lo", (F.col("lo") != F.col("hi")).alias("several")).mapInArrow(route, "tbl string, leaf int, lo binary, several boolean, code binary")
+            ok, code = _usable_codes(b.column("embedding"), dim)
+            b = b.filter(pa.array(ok))
+            for t, i, c in zip(b.column("tbl").to_pylist(), b.column("id").to_pylist(), code):
+                c = c.tobytes()
+                got = held.setdefault((t, c), [[], False])
+                if i not in got[0]:
+                    got[0].append(i)
+                    if len(got[0]) > k + 1:
+                        got[0].remove(max(got[0]))
+                        got[1] = True
+        for n in {t for t, _ in held}:
+            mine = [(c, sorted(v[0]), v[1]) for (t, c), v in held.items() if t == n]
+            for a in range(0, len(mine), 8192):
+                part = mine[a : a + 8192]
+                x = _unit(np.frombuffer(b"".join(m[0] for m in part), "<i2").reshape(-1, dim))
+                row, leaf = routes(x, *shared.value[n], margin, most_routes) if shared.value[n] else (np.arange(len(x)), np.zeros(len(x), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n] * len(row)), pa.array(leaf.astype(np.int32)), pa.array([part[i][1] for i in row], pa.list_(pa.binary())), pa.array([part[i][2] for i in row]), pa.array([part[i][0] for i in row], pa.binary())],
+                    ["tbl", "leaf", "ids", "more", "code"],
+                )
+
+    routed = rows.mapInArrow(route, "tbl string, leaf int, ids array<binary>, more boolean, code binary")
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("lo", kind="stable")
-        codes = np.frombuffer(b"".join(g["code"]), "<i2").reshape(-1, dim)
+        classes: dict[bytes, list] = {}
+        for c, i, m in zip(g["code"], g["ids"], g["more"]):
+            got = classes.setdefault(c, [set(), False])
+            got[0].update(i)
+            got[1] |= bool(m)
+        held = sorted((sorted(v[0]), v[1], c) for c, v in classes.items())
+        codes = np.frombuffer(b"".join(h[2] for h in held), "<i2").reshape(-1, dim)
         q, r, sim = forest_neighbours(codes, k, floor)
-        lo, several = g["lo"].to_numpy(), g["several"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-        end = np.r_[edge[1:], len(q)]
-        own = q[edge]
-        return pd.DataFrame(
-            {
-                "tbl": g["tbl"].iloc[0],
-                "lo": lo[own],
-                "several": several[own],
-                "near": [[{"sim": s, "lo": b, "several": m} for s, b, m in zip(sim[a:z], lo[r[a:z]], several[r[a:z]])] for a, z in zip(edge, end)],
-            }
-        )
-
-    lists = routed.groupBy("tbl", "leaf").applyInPandas(search, "tbl string, lo binary, several boolean, near array<struct<sim:double,lo:binary,several:boolean>>")
-    merged = lists.groupBy("tbl", "lo", "several").agg(F.collect_list("near").alias("near"))  # at most k from each of most_routes leaves
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten("near")), _nearer), 1, k)
-    merged = merged.withColumn("near", best)
-    plain = ~F.col("several") & ~F.exists("near", lambda x: x["several"])
-    single = merged.where(plain).select("tbl", F.col("lo").alias("id"), F.explode("near").alias("n")).select("tbl", "id", F.col("n.lo").alias("neighbour"), F.col("n.sim").alias("similarity"))
-
-    # Vectors with copies, or with neighbours that have some: few, found by the codes' hashes.
-    mark = F.struct(F.xxhash64("code"), F.xxhash64(F.lit(1), "code"))
-    many = classes.where("lo <> hi").select("tbl", mark.alias("mark"), "lo", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    ids = coded.select("tbl", "id", mark.alias("mark"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    members = ids.join(many, ["tbl", "mark", "salt"]).select("tbl", "lo", "id").distinct()
-    smallest = (
-        members.groupBy("tbl", "lo", F.pmod(F.xxhash64("id"), F.lit(64)).alias("b")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("s")).groupBy("tbl", "lo").agg(F.slice(F.array_sort(F.flatten(F.collect_list("s"))), 1, k + 1).alias("copies"))
-    )
-    knotty = merged.where(~plain).select("tbl", F.col("lo").alias("q"), "several", F.posexplode("near").alias("pos", "n")).select("tbl", "q", "several", "pos", F.col("n.lo").alias("lo"), F.col("n.sim").alias("sim"))
+        mark = [h[0][0] + (b"\x01" if len(h[0]) > 1 else b"\x00") for h in held]
+        rank = np.clip(np.rint((1 - sim) * 1e9), 0, 2**32 - 1).astype(">u4").tobytes()
+        near: dict[int, list[bytes]] = {}
+        for n, (a, z) in enumerate(zip(q.tolist(), r.tolist())):
+            near.setdefault(a, []).append(rank[4 * n : 4 * n + 4] + mark[z])
+        out = [(h[0][: k + 1], h[1] or len(h[0]) > k + 1, near.get(n, [])) for n, h in enumerate(held) if n in near or len(h[0]) > 1]
+        return pd.DataFrame({"tbl": g["tbl"].iloc[0], "ids": [o[0] for o in out], "more": [o[1] for o in out], "near": [o[2] for o in out]})
+
+    lists = routed.groupBy("tbl", "leaf").applyInPandas(search, "tbl string, ids array<binary>, more boolean, near array<binary>")
+    # A neighbour is 4 bytes of distance, its id, a byte that tells whether it has copies: bytes sort as distances do. A class has
+    # at most k of them from each of most_routes leaves.
+    merged = lists.groupBy("tbl", F.element_at("ids", 1).alias("lo")).agg(F.first("ids").alias("ids"), F.max("more").alias("more"), F.collect_list("near").alias("near"))
+    merged = materialise(merged.withColumn("near", F.slice(F.array_sort(F.array_distinct(F.flatten("near"))), 1, k)), "neighbours")
+    plain = (F.size("ids") == 1) & ~F.exists("near", lambda x: F.endswith(x, F.unhex(F.lit("01"))))
+    ident = lambda x: F.substring(x, 5, F.length(x) - 5)
+    likeness = lambda x: F.lit(1.0) - F.conv(F.hex(F.substring(x, 1, 4)), 16, 10).cast("double") / 1e9
+    single = merged.where(plain).select("tbl", F.col("lo").alias("id"), F.explode("near").alias("n")).select("tbl", "id", ident(F.col("n")).alias("neighbour"), likeness(F.col("n")).alias("similarity"))
+
+    # Vectors that have copies, or neighbours with copies.
+    copies = merged.where(F.size("ids") > 1).select("tbl", F.col("lo").alias("c"), F.col("ids").alias("copies"))
+    knotty = merged.where(~plain).select("tbl", "lo", "ids", "more", F.posexplode_outer("near").alias("pos", "n"))
     spread = (
-        knotty.join(smallest, ["tbl", "lo"], "left")
-        .groupBy("tbl", F.col("q").alias("lo"), "several")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "sim", F.coalesce("copies", F.array("lo")).alias("ids")))).alias("l"))
-        .select("tbl", "lo", "several", F.flatten(F.transform("l", lambda x: F.transform(x["ids"], lambda i: F.struct(x["sim"].alias("sim"), i.alias("id"))))).alias("others"))
+        knotty.withColumn("c", ident(F.col("n")))
+        .join(copies, ["tbl", "c"], "left")
+        .groupBy("tbl", "lo", "more")
+        .agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("pos", likeness(F.col("n")).alias("sim"), F.coalesce("copies", F.array("c")).alias("of"))))).alias("l"))
+        .select("tbl", "lo", "more", "ids", F.flatten(F.transform("l", lambda x: F.transform(x["of"], lambda i: F.struct(x["sim"].alias("sim"), i.alias("id"))))).alias("others"))
     )
-    lone = spread.where(~F.col("several")).select("tbl", F.col("lo").alias("id"), F.slice("others", 1, k).alias("near"))
-    wide = smallest.join(spread.where("several").select("tbl", "lo", "others"), ["tbl", "lo"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    copied = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(wide, ["tbl", "lo", "salt"])
-    own = F.transform(F.filter("copies", lambda c: c != F.col("id")), lambda c: F.struct(F.lit(1.0).alias("sim"), c.alias("id")))
-    empty = F.array().cast("array<struct<sim:double,id:binary>>")
-    copied = copied.select("tbl", "id", F.slice(F.concat(F.slice(own, 1, k), F.coalesce("others", empty)), 1, k).alias("near"))
-    rest = lone.unionByName(copied).select("tbl", "id", F.explode("near").alias("n")).select("tbl", "id", F.col("n.id").alias("neighbour"), F.col("n.sim").alias("similarity"))
-    return single.unionByName(rest)
-
-
-def _nearer(a: Column, b: Column) -> Column:
-    return F.when(a["sim"] > b["sim"], -1).when(a["sim"] < b["sim"], 1).when(a["lo"] < b["lo"], -1).when(a["lo"] > b["lo"], 1).otherwise(0)
+    members = spread.select("tbl", F.explode("ids").alias("id"), "ids", "others")
+    big = spread.where("more")
+    if not merged.where("more").isEmpty():  # ids beyond the k + 1 smallest of their class: a second look at all rows, salted
+        mark = [F.xxhash64("code").alias("m1"), F.xxhash64(F.lit(1), "code").alias("m2")]
+        coded = encode(rows, dim).select("tbl", "id", *mark)
+        heads = coded.join(big.select("tbl", F.col("lo").alias("id"), "ids", "others"), ["tbl", "id"]).drop("id").dropDuplicates(["tbl", "m1", "m2"])
+        heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rest = coded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(heads, ["tbl", "m1", "m2", "salt"])
+        members = members.unionByName(rest.where(~F.array_contains("ids", F.col("id"))).select("tbl", "id", "ids", "others").dropDuplicates(["tbl", "id"]))
+    own = F.transform(F.filter("ids", lambda c: c != F.col("id")), lambda c: F.struct(F.lit(1.0).alias("sim"), c.alias("id")))
+    many = members.select("tbl", "id", F.explode(F.slice(F.concat(own, "others"), 1, k)).alias("n")).select("tbl", "id", F.col("n.id").alias("neighbour"), F.col("n.sim").alias("similarity"))
+    return single.unionByName(many)
+
+
+def _routes_of(d: DataFrame, name: str, dim: int, leaf_rows: int):
+    """The planes that route a table's vectors, fitted on SAMPLE of them; None if one leaf holds all."""
+    total = d.where("embedding IS NOT NULL").count()
+    levels = max(0, math.ceil(math.log2(max(1, total) / leaf_rows)))
+    if not levels:
+        return None
+    some = d.select(F.lit(name).alias("tbl"), pack_id(F.col("id").cast("string")).alias("id"), "embedding").where("embedding IS NOT NULL")
+    x = encode(some.orderBy(F.xxhash64("id")).limit(SAMPLE), dim).collect()
+    if len(x) < 32:
+        return None
+    x = np.stack([np.frombuffer(bytes(r["code"]), "<i2") for r in x])
+    return fit_routes(_unit(x), min(levels, int(math.log2(len(x) / 16))))
 
 
 def similar_pairs(tables: dict[str, DataFrame], min_similarity: float, **kw) -> DataFrame:
