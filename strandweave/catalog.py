@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.plans import problems
+from strandweave.plans import evaluation, ingestion, problems, retrieval
 
-_MODULES = (problems,)
+_MODULES = (retrieval, ingestion, evaluation, problems)
 
 
 def queries() -> dict:

@@ -42,7 +42,7 @@ def _unwrap(v: Column) -> Column:
     """The inner object where an object has just one key, and that isn't the unit's own list."""
 
     def inner(keys: Column) -> Column:
-        first = F.element_at(F.map_values(keys), 1)
+        first = F.get(F.map_values(keys), F.lit(0))
         return F.when((F.size(keys) == 1) & ~F.array_contains(F.map_keys(keys), "propositions") & (_kind(first) == "OBJECT"), first).otherwise(v)
 
     return F.coalesce(_let(F.try_variant_get(v, "$", "map<string,variant>"), inner), v)
