@@ -142,8 +142,9 @@ def _word_places(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
 
 
-def source_baselines(feat: DataFrame, least: int = 5, pile: float = 0.005, habit: float = 0.5) -> DataFrame:
-    """source -> its limits in characters and bytes (null: none), and whether missing terminators are its habit."""
+def source_baselines(feat: DataFrame, least: int = 5, pile: float = 0.005, habit: float = 0.5, few: int = 20) -> DataFrame:
+    """source -> its limits in characters and bytes (null: none), and whether missing terminators are its habit (told only from
+    `few` pages on)."""
     one = feat.withColumnRenamed("source", "src")
     top = one.groupBy("src").agg(
         F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("mc"), F.max("n_bytes").alias("mb"), F.avg(F.when(F.col("reason") == "no terminator", 1.0).otherwise(0.0)).alias("bare")
@@ -155,11 +156,14 @@ def source_baselines(feat: DataFrame, least: int = 5, pile: float = 0.005, habit
         .agg(
             F.sum(F.when(F.col("n_chars") == F.col("mc"), F.col("c")).otherwise(0)).alias("at_mc"),
             F.sum(F.when(F.col("n_bytes") > F.col("mb") - 4, F.col("c")).otherwise(0)).alias("at_mb"),
+            F.sum(F.when(F.col("n_chars").between(0.9 * F.col("mc"), F.col("mc") - 1), F.col("c")).otherwise(0)).alias("by_mc"),
+            F.sum(F.when(F.col("n_bytes").between(0.9 * F.col("mb"), F.col("mb") - 4), F.col("c")).otherwise(0)).alias("by_mb"),
         )
     )
-    piled = lambda c: F.col(c) >= F.greatest(F.lit(least), F.col("n") * pile)
+    usual = lambda c, width: F.col(f"by_{c}") * width / (F.col(c) * 0.1 + 1)  # noqa: E731  what that many lengths just below hold
+    piled = lambda c, width: F.col(f"at_{c}") >= F.greatest(F.lit(least), F.col("n") * pile, 10 * usual(c, width))
     return at.select(
-        "src", F.when(piled("at_mc"), F.col("mc")).alias("limit_chars"), F.when(piled("at_mb"), F.col("mb")).alias("limit_bytes"), (F.col("bare") > habit).alias("habit")
+        "src", F.when(piled("mc", 1), F.col("mc")).alias("limit_chars"), F.when(piled("mb", 4), F.col("mb")).alias("limit_bytes"), ((F.col("bare") > habit) & (F.col("n") >= few)).alias("habit")
     )
 
 
