@@ -96,7 +96,8 @@ def judge(text: str) -> tuple[str | None, str | None, str | None]:
     run = _RUN.findall(last)
     word = run[-1] if run and last.endswith(run[-1]) else None
     if _HEAD.match(last) or _ITEM.match(last) or _POINTER.match(last):
-        return ("cut word", closing_line(last), word) if word else (None, None, None)
+        line = re.sub(r"\d+", "0", last) if _HEAD.match(last) else None
+        return ("cut word", line, word) if word else (None, None, None)
     if re.fullmatch(r"#+|[-*+•]", last):
         return "open item", None, None
     if last.endswith("..."):
