@@ -111,13 +111,14 @@ def keep_support(assertions: DataFrame, keys: list[str], seq: list[str], pid: st
 def upsert_edges(assertions: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     """assertions(*keys, *seq, axis, confidence, proposition_id, source_id) -> one edge per key."""
     a = assertions.withColumn("b", base_weight(F.col("confidence")))
-    n = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_assertions"), F.max_by("source_id", F.struct(*seq)).alias("source_id"))
+    n = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_assertions"), F.max_by("source_id", F.struct(*seq)).alias("source_id"), F.min_by("b", F.struct(*seq)).alias("first_b"))
     return n.join(fold_weight(a, keys, seq, "b"), keys).join(vote_axis(a, keys, seq, "axis"), keys).join(keep_support(a, keys, seq, "proposition_id"), keys, "left")
 
 
-def merge_weight(old: Column, new_fold: Column, n_new: Column) -> Column:
-    """An existing weight with n_new further assertions, whose own fold (with every b halved) is new_fold."""
-    return old * F.pow(F.lit(0.5), n_new) + new_fold
+def merge_weight(old: Column, fold: Column, n: Column, first_b: Column) -> Column:
+    """An existing weight with n further assertions: their own fold counts the first of them once more than it does behind an older weight."""
+    half = F.pow(F.lit(0.5), n)
+    return old * half + fold - first_b * half
 
 
 def upsert_entities(mentions: DataFrame, seq: list[str], existing: DataFrame | None = None) -> DataFrame:

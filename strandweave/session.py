@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     b = (
@@ -31,14 +34,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        set_dir = getattr(spark, "_strandweave_dir", None)
-        if not set_dir:
-            set_dir = "file://" + tempfile.mkdtemp(prefix="spark-strandweave-")
-            spark._strandweave_dir = set_dir
+    own = _OWN.get(spark.sparkContext.applicationId)
+    if not set_dir and not own:
+        own = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-strandweave-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
+        spark.sparkContext.setCheckpointDir(set_dir or own)
+    return set_dir or own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,5 +50,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives the loss of an executor."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
