@@ -32,6 +32,7 @@ from strandweave.session import materialise
 
 SAMPLE = 20_000
 SCALE = 32_767
+THOROUGH = {"margin": 0.12, "most_routes": 8, "forest": {"trees": 8, "leaf": 256, "visits": 60, "aside": 0.3}}
 
 
 def pack_id(c: Column) -> Column:
@@ -210,10 +211,11 @@ def forest_neighbours(codes: np.ndarray, k: int, floor: float, trees: int = 5, l
     return q[keep], r[keep], sim[keep]
 
 
-def neighbours(tables: dict[str, DataFrame], dim: int = 64, k: int = 5, min_similarity: float | None = None, leaf_rows: int = 16_384, margin: float = 0.05, most_routes: int = 4, salts: int = 8) -> DataFrame:
+def neighbours(tables: dict[str, DataFrame], dim: int = 64, k: int = 5, min_similarity: float | None = None, leaf_rows: int = 16_384, margin: float = 0.05, most_routes: int = 4, salts: int = 8, forest: dict | None = None) -> DataFrame:
     """{name: rows(id, embedding)} -> (tbl, id, neighbour, similarity): each usable vector's k most similar others.
 
-    With min_similarity only neighbours at least that similar come out (and weaker candidates are dropped early).
+    With min_similarity only neighbours at least that similar come out (and weaker candidates are dropped early). The defaults suit
+    strong neighbours; weak ones, which lie anywhere, need THOROUGH: wider routes and more visits, at several times the cost.
     """
     floor = -2.0 if min_similarity is None else float(min_similarity)
     rows = reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("tbl"), pack_id(F.col("id").cast("string")).alias("id"), "embedding") for n, d in tables.items()])
@@ -256,7 +258,7 @@ def neighbours(tables: dict[str, DataFrame], dim: int = 64, k: int = 5, min_simi
             got[1] |= bool(m)
         held = sorted((sorted(v[0]), v[1], c) for c, v in classes.items())
         codes = np.frombuffer(b"".join(h[2] for h in held), "<i2").reshape(-1, dim)
-        q, r, sim = forest_neighbours(codes, k, floor)
+        q, r, sim = forest_neighbours(codes, k, floor, **(forest or {}))
         mark = [h[0][0] + (b"\x01" if len(h[0]) > 1 else b"\x00") for h in held]
         rank = np.clip(np.rint((1 - sim) * 1e9), 0, 2**32 - 1).astype(">u4").tobytes()
         near: dict[int, list[bytes]] = {}
