@@ -171,3 +171,27 @@ def test_one_text_on_most_rows_and_empty_tables(spark):
     got = _found(spark, spans, [])
     assert len([g for g in got if g[1] == "s0001"]) == 599
     assert _found(spark, [], []) == set()
+
+
+def test_true_pairs_unlike_those_of_the_first_batch_are_found(spark):
+    """The first batch holds close copies and near misses; the later one edits the rarest words, spread evenly over the text."""
+    spans = []
+
+    def add(words, batch):
+        spans.append((f"s{len(spans):05d}", "d", "p", " ".join(words), None, batch))
+
+    def edited(words, at, tag):
+        return [f"{tag}x{i}" if i in at else w for i, w in enumerate(words)]
+
+    rare = range(4, 72, 8)
+    bases = [[f"f{f}r{i}" if i in rare else f"f{f}w{i}" for i in range(72)] for f in range(60)]
+    for f, base in enumerate(bases):
+        add(base, 0)
+        add(edited(base, [71], f"f{f}c"), 0)
+        for m in range(3):
+            add(edited(base, [*rare, m], f"f{f}m{m}"), 0)
+    for f, base in enumerate(bases):
+        add(edited(base, rare, f"f{f}late"), 1)
+    want = _greedy(spans, [])
+    assert len([w for w in want if w[2] >= "s00300"]) == 60
+    assert _found(spark, spans, []) == want
