@@ -3,8 +3,9 @@
 Structural completeness check. A stack automaton reads each whole text: code fences, brackets, quotes, links and table rows
 that are still open at the end, broken multibyte sequences and escapes, marks of a cut ("[...]", "…"). An end that is none of
 these is judged against the corpus: a closing line without a full stop is complete if the corpus closes that way often
-enough; the last word of a list item, heading or link line must be known from inside other lines and known to end lines;
-a source that usually ends without terminators gives no evidence by a missing one; a source whose longest texts pile up
+enough; the last word of a list item, heading or link line must be known from other lines and not end lines far more seldom than words do;
+a source whose paragraphs usually end without terminators gives no evidence by a missing one (told from paragraphs that are not a text's
+last, so that cuts don't excuse themselves); a source whose longest texts pile up
 at one length in characters or bytes has a field limit, and texts at it are cut.
 
 The baselines are counted over all texts. Their tables are bounded: closing lines above a share of all texts (at most 1 / share
@@ -34,6 +35,9 @@ _RUN = re.compile(r"[^\W_]+")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 _HEAD = re.compile(r"^#{1,6}\s+\S")
 _POINTER = re.compile(r"^[A-Z][\w ]{2,20}: ")
+_BREAK = re.compile(r"\n\s*\n")
+_FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
+_SENTENCE = re.compile(r"""[.?!。！？]["'”’»)\]*_`]*\s""")
 
 FEATURES = "doc_id {kind}, source string, n_chars long, n_bytes long, reason string, line string, word string"
 
@@ -143,17 +147,54 @@ def _word_places(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
 
 
-def source_baselines(feat: DataFrame, least: int = 5, pile: float = 0.005, habit: float = 0.5, few: int = 20) -> DataFrame:
-    """source -> its limits in characters and bytes (null: none), and whether missing terminators are its habit (told only from
-    `few` pages on)."""
+def paragraph_ends(text: str) -> Iterator[str]:
+    """The last lines of the paragraphs of prose, without the text's last paragraph."""
+    fenced = False
+    for p in _BREAK.split(text.rstrip())[:-1]:
+        marks = len(_FENCE.findall(p))
+        within, fenced = fenced, fenced ^ (marks % 2 == 1)
+        last = p.rstrip().split("\n")[-1].strip()
+        if last and not (within or marks or last[0] == "|" or _HEAD.match(last) or _ITEM.match(last) or _POINTER.match(last) or re.match(r"^(-{3,}|\*{3,}|={3,})", last)):
+            yield last
+
+
+def _habits(docs: DataFrame, closers: set[str]) -> DataFrame:
+    """source -> ends, bare: its paragraphs' ends and those without a terminator; pages, titles: its pages and those that have no
+    terminator at the end nor between sentences. Recurring closing lines count for neither ends nor titles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            n: dict[str | None, list[int]] = {}
+            for s, t in zip(x["source"], x["text"]):
+                c = n.setdefault(s, [0, 0, 0, 0])
+                for last in paragraph_ends(t):
+                    bare = not _TERMINATED.search(last)
+                    if not bare or closing_line(last) not in closers:
+                        c[0] += 1
+                        c[1] += bare
+                reason, line, _ = judge(t)
+                c[2] += 1
+                c[3] += reason == "no terminator" and line not in closers and not _SENTENCE.search(t.rstrip())
+            yield pd.DataFrame([(s, *c) for s, c in n.items()], columns=["source", "ends", "bare", "pages", "titles"])
+
+    counted = docs.select(F.col("source").cast("string"), "text").where("text IS NOT NULL").mapInPandas(run, "source string, ends long, bare long, pages long, titles long")
+    return counted.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("ends", "bare", "pages", "titles")])
+
+
+def source_baselines(feat: DataFrame, habits: DataFrame, least: int = 5, pile: float = 0.005, habit: float = 0.5, few: int = 20) -> DataFrame:
+    """source -> its limits in characters and bytes (null: none), and whether missing terminators are its habit: told from `few`
+    paragraph ends on, and for sources without these from `few` pages on."""
+    usual_bare = F.when(F.col("ends") >= few, F.col("bare") > habit * F.col("ends")).otherwise((F.col("pages") >= few) & (F.col("titles") > habit * F.col("pages")))
+    told = habits.select(F.col("source").alias("h"), usual_bare.alias("habit"))
     one = feat.withColumnRenamed("source", "src")
     top = one.groupBy("src").agg(
-        F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("mc"), F.max("n_bytes").alias("mb"), F.avg(F.when(F.col("reason") == "no terminator", 1.0).otherwise(0.0)).alias("bare")
+        F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("mc"), F.max("n_bytes").alias("mb")
     )
+    top = top.join(told, F.col("src").eqNullSafe(F.col("h"))).drop("h")
     sizes = one.groupBy(F.col("src").alias("s"), "n_chars", "n_bytes").agg(F.count(F.lit(1)).alias("c"))
     at = (
         sizes.join(top, F.col("s").eqNullSafe(F.col("src")))
-        .groupBy("src", "n", "mc", "mb", "bare")
+        .groupBy("src", "n", "mc", "mb", "habit")
         .agg(
             F.sum(F.when(F.col("n_chars") == F.col("mc"), F.col("c")).otherwise(0)).alias("at_mc"),
             F.sum(F.when(F.col("n_bytes") > F.col("mb") - 4, F.col("c")).otherwise(0)).alias("at_mb"),
@@ -164,20 +205,25 @@ def source_baselines(feat: DataFrame, least: int = 5, pile: float = 0.005, habit
     usual = lambda c, width: F.col(f"by_{c}") * width / (F.col(c) * 0.1 + 1)  # noqa: E731  what that many lengths just below hold
     piled = lambda c, width: F.col(f"at_{c}") >= F.greatest(F.lit(least), F.col("n") * pile, 10 * usual(c, width))
     return at.select(
-        "src", F.when(piled("mc", 1), F.col("mc")).alias("limit_chars"), F.when(piled("mb", 4), F.col("mb")).alias("limit_bytes"), ((F.col("bare") > habit) & (F.col("n") >= few)).alias("habit")
+        "src", F.when(piled("mc", 1), F.col("mc")).alias("limit_chars"), F.when(piled("mb", 4), F.col("mb")).alias("limit_bytes"), "habit"
     )
 
 
-def judged(docs: DataFrame, share: float = 0.0005, salts: int = 16) -> DataFrame:
-    """One row per doc_id: source, cut (boolean), reason."""
+def judged(docs: DataFrame, share: float = 0.0005, salts: int = 16, seldom: float = 0.25) -> DataFrame:
+    """One row per doc_id: source, cut (boolean), reason. A word does not end lines if its share of line ends, taken with three
+    more ends than were seen, is below `seldom` of the share among all words; a rare word's is not."""
     feat = materialise(_features(docs), "truncation")
     n = feat.count()
     lines = feat.where("line IS NOT NULL").groupBy("line").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.lit(max(3.0, share * n)))
     closers = F.broadcast(lines.select("line", F.lit(True).alias("closes")))  # at most 1 / share rows
     asked = feat.where("word IS NOT NULL").select("word").distinct()
-    known = asked.join(_word_places(docs), "word", "left").na.fill(0, ["inside", "ends"])
-    odd = known.where("(ends = 0 AND (inside = 0 OR inside >= 20)) OR (ends > 0 AND inside > 1000 * ends)").select("word", F.lit(True).alias("odd"))
-    base = source_baselines(feat).withColumn("base_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    places = materialise(_word_places(docs), "words")
+    of_all = places.agg(F.coalesce(F.sum("ends") / F.sum(F.col("inside") + F.col("ends")), F.lit(0.0))).first()[0]
+    known = asked.join(places, "word", "left").na.fill(0, ["inside", "ends"])
+    seen = F.col("inside") + F.col("ends")
+    odd = known.where((seen == 0) | (F.col("ends") + 3 < seen * F.lit(seldom * of_all))).select("word", F.lit(True).alias("odd"))
+    habits = _habits(docs, {r["line"] for r in closers.select("line").collect()})
+    base = source_baselines(feat, habits).withColumn("base_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     f = feat.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     f = f.join(closers, "line", "left").join(odd, "word", "left")
     f = f.join(base, F.col("source").eqNullSafe(F.col("src")) & (F.col("salt") == F.col("base_salt")), "left")

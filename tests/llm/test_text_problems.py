@@ -180,3 +180,21 @@ def test_truncation_over_a_corpus(spark):
     s = {r.source: r for r in truncation.truncation_shares(truncation.judged(d)).collect()}
     assert s["limited"].share == 1.0 and s["bare"].n_cut == 0 and s[None].n_cut == 1
     assert truncation.judged(d.where("false")).count() == 0
+
+
+def test_cuts_do_not_make_a_habit_and_rare_words_may_end_texts(spark):
+    rnd = random.Random(5)
+    names = ["Alpha", "Beta", "Gamma", "Delta"]
+    say = lambda: f"The {rnd.choice(names)} index keeps {rnd.randrange(10**6)} rows."
+    rows, cut = [], set()
+    for i in range(120):  # 90 of 120 pages stop inside a sentence, in one source after whole paragraphs, in the other inside their only one
+        whole = [f"{say()} {say()}" for _ in range(3)] if i % 2 else [" ".join(say() for _ in range(4))]
+        stop = "" if i % 8 < 2 else f" {say()[: rnd.randrange(5, 12)]} q{chr(97 + i % 26) * (1 + i // 26)}"
+        rows.append((i, f"torn{i % 2}", "\n\n".join(whole) + stop))
+        cut |= {i} if stop else set()
+    for i in range(200, 240):  # paragraphs without terminators are the habit here
+        rows.append((i, "bare", f"a note {i} on {'x' * (i % 19)}\n\nanother {i} of {'y' * (i % 17)}\n\nthe last {i} v{'w' * (i % 13)}"))
+    rows += [(300 + i, "s", f"The Zorb index keeps {i} rows.\n- {names[i % 4]} index\nText {'t' * i} ends.") for i in range(30)]
+    rows.append((400, "s", "Text here.\n\n- Zorb"))
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in truncation.judged(d).where("cut").collect()} == cut
