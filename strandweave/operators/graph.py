@@ -48,26 +48,29 @@ def bound_edges(g: PropertyGraph) -> DataFrame:
     return g.edges.join(s, "src").join(d, "dst")
 
 
-def one_hop(seeds: DataFrame, e: DataFrame, cap: int = 2048, source_id: str | None = None) -> DataFrame:
-    """seeds(qid, id) -> edges with a seed at either end, per question at most `cap`, heaviest first.
+def one_hop(seeds: DataFrame, e: DataFrame, cap: int = 2048, source_id: str | None = None, scoped: bool = False) -> DataFrame:
+    """seeds(qid, id) -> edges with a seed at either end, per question at most `cap`, heaviest first. With `scoped`, seeds have a
+    source_id too, only edges of the same source count, and the cap holds per question and source.
 
     Two equi-joins and a distinct in place of a join on OR; the cap keeps a hub's edges from a single task (each task
     passes on at most `cap` per question)."""
     if source_id is not None:
         e = e.where(F.col("source_id") == source_id)
-    s = seeds.select("qid", "id").distinct()
-    touched = e.join(s.withColumnRenamed("id", "src"), "src").select("qid", *e.columns)
-    touched = touched.unionByName(e.join(s.withColumnRenamed("id", "dst"), "dst").select("qid", *e.columns)).dropDuplicates(["qid", "id"])
-    w = W.partitionBy("qid").orderBy(F.desc("base_weight"), "src", "dst", "predicate", "id")
+    by = ["source_id"] if scoped else []
+    s = seeds.select("qid", "id", *by).distinct()
+    touched = e.join(s.withColumnRenamed("id", "src"), ["src", *by]).select("qid", *e.columns)
+    touched = touched.unionByName(e.join(s.withColumnRenamed("id", "dst"), ["dst", *by]).select("qid", *e.columns)).dropDuplicates(["qid", "id", *by])
+    w = W.partitionBy("qid", *by).orderBy(F.desc("base_weight"), "src", "dst", "predicate", "id")
     return touched.withColumn("edge_no", F.row_number().over(w)).where(F.col("edge_no") <= cap)
 
 
-def hops(seeds: DataFrame, e: DataFrame, n: int, cap: int = 2048) -> DataFrame:
+def hops(seeds: DataFrame, e: DataFrame, n: int, cap: int = 2048, scoped: bool = False) -> DataFrame:
     """n-hop neighbourhood: the vertices reached so far are the next hop's seeds."""
-    out = one_hop(seeds, e, cap)
+    by = ["source_id"] if scoped else []
+    out = one_hop(seeds, e, cap, scoped=scoped)
     for _ in range(n - 1):
-        reached = out.select("qid", F.explode(F.array("src", "dst")).alias("id")).distinct()
-        out = one_hop(reached, e, cap)
+        reached = out.select("qid", *by, F.explode(F.array("src", "dst")).alias("id")).distinct()
+        out = one_hop(reached, e, cap, scoped=scoped)
     return out
 
 

@@ -91,10 +91,11 @@ def picked(ranked: DataFrame, seed_props: DataFrame, top_m: int = 20) -> DataFra
     return first.select("qid", "pid", F.row_number().over(W.partitionBy("qid").orderBy("o")).alias("rank")).where(F.col("rank") <= top_m)
 
 
-def fetch(pick: DataFrame, propositions: DataFrame) -> DataFrame:
-    """The picked propositions' texts, in rank order within a question. Texts are joined last, to the ranked ids only."""
+def fetch(pick: DataFrame, propositions: DataFrame, scoped: bool = False) -> DataFrame:
+    """The picked propositions' texts, in rank order within a question. Texts are joined last, to the ranked ids only.
+    With `scoped`, pick has a source_id too, and only propositions of that source come out."""
     p = propositions.select(F.col("id").alias("pid"), "text", "source_doc", "source_span", "source_id")
-    return pick.join(p, "pid")
+    return pick.join(p, ["pid", "source_id"] if scoped else "pid")
 
 
 def graph_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10, every: int = 2) -> DataFrame:

@@ -94,9 +94,12 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
-def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> DataFrame:
+def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64, scope: str | None = None) -> DataFrame:
     """questions(qid, qvec), vectors(id, embedding) -> qid, id, distance, rank: each question's k nearest by cosine distance,
-    equal distances (to 9 digits) by id. Each task keeps k candidates per question; one window merges them."""
+    equal distances (to 9 digits) by id. Each task keeps k candidates per question; one window merges them.
+
+    With scope, a text column of vectors, each question asks each value of it alone: k rows per (qid, value), the column in the
+    result; vectors without a value belong to no scope."""
     rows = questions.limit(MAX_QUESTIONS + 1).collect()
     if len(rows) > MAX_QUESTIONS:
         raise ValueError(f"more than {MAX_QUESTIONS} questions in one batch")
@@ -109,7 +112,7 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = shared.value
-        best_d, best_i = np.full((len(ids), 0), 2.0), np.empty((len(ids), 0), object)
+        best = {}
         for b in batches:
             b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("embedding")), dim), False))
             if not b.num_rows or not ids:
@@ -117,18 +120,31 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> Da
             x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             x, own = x[ok], np.array(b.column("id").to_pylist(), object)[ok]
-            d = np.round(1 - m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-            d = np.concatenate([best_d, d], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
-            order = np.array([np.lexsort((i[r].astype(str), d[r]))[:k] for r in range(len(ids))]) if d.shape[1] <= 4 * k else _best(d, i, k)
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        if best_d.shape[1]:
+            every = np.round(1 - m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
+            parts: dict = {None: np.arange(len(own))} if scope is None else {}
+            for n, v in enumerate(np.array(b.column(scope).to_pylist(), object)[ok] if scope else ()):
+                parts.setdefault(v, []).append(n)
+            for v, at in parts.items():
+                best_d, best_i = best.get(v) or (np.full((len(ids), 0), 2.0), np.empty((len(ids), 0), object))
+                d = np.concatenate([best_d, every[:, at]], axis=1)
+                i = np.concatenate([best_i, np.broadcast_to(own[at], (len(ids), len(at)))], axis=1)
+                order = np.array([np.lexsort((i[r].astype(str), d[r]))[:k] for r in range(len(ids))]) if d.shape[1] <= 4 * k else _best(d, i, k)
+                best[v] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        for v, (best_d, best_i) in best.items():
+            if not best_d.shape[1]:
+                continue
             w = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, object), w).tolist()), pa.array(best_i.ravel().tolist()), pa.array(best_d.ravel())], ["qid", "id", "distance"])
+            cols = [pa.array(np.repeat(np.array(ids, object), w).tolist()), pa.array(best_i.ravel().tolist()), pa.array(best_d.ravel())]
+            extra = [pa.array([v] * best_d.size, pa.string())] if scope else []
+            yield pa.RecordBatch.from_arrays(cols + extra, ["qid", "id", "distance"] + ([scope] if scope else []))
 
     qkind = questions.schema["qid"].dataType.simpleString()
-    part = vectors.select("id", "embedding").where("embedding IS NOT NULL").mapInArrow(run, f"qid {qkind}, id {kind}, distance double")
-    w = W.partitionBy("qid").orderBy("distance", "id")
+    by = [scope] if scope else []
+    rows = vectors.select("id", "embedding", *by).where("embedding IS NOT NULL")
+    for c in by:
+        rows = rows.where(F.col(c).isNotNull())
+    part = rows.mapInArrow(run, f"qid {qkind}, id {kind}, distance double" + "".join(f", {c} string" for c in by))
+    w = W.partitionBy("qid", *by).orderBy("distance", "id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -89,10 +89,27 @@ def q_two_hops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_source_scope(spark: SparkSession, d: str) -> DataFrame:
-    """The one-hop edges by source, and how many stay in scope if each source asks alone."""
+    """The one-hop edges of questions that ask all sources together, counted by source; the q_scoped queries ask each source alone."""
     return subgraph(spark, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("qid").alias("n_questions"))
 
 
+def scoped_subgraph(spark: SparkSession, d: str, n_hops: int = 1) -> DataFrame:
+    """Each question asks each source alone: seeds and edges of that source only, both cut per (question, source)."""
+    seeds = vectors.top_k(questions(spark, d).select("qid", "qvec"), graph.live(table(spark, d, "entity")), CFG.retrieve.seed_k_entities, scope="source_id")
+    return graph.hops(seeds, property_graph(spark, d).edges, n_hops, CFG.retrieve.max_subgraph_edges, scoped=True)
+
+
+def q_scoped_hop(spark: SparkSession, d: str) -> DataFrame:
+    return scoped_subgraph(spark, d).select("qid", "source_id", "id", "edge_no")
+
+
+def q_scoped_props(spark: SparkSession, d: str) -> DataFrame:
+    """The propositions nearest to each question within each source, with their texts."""
+    near = vectors.top_k(questions(spark, d).select("qid", "qvec"), propositions(spark, d), CFG.retrieve.seed_k_propositions, scope="source_id")
+    got = retrieve.fetch(near.withColumnRenamed("id", "pid"), propositions(spark, d), scoped=True)
+    return got.select("qid", "source_id", "pid", F.round(1 - F.col("distance"), 6).alias("sim"), "rank", "text")
+
+
 def q_sources(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t).select("source_id") for t in ("entity", "proposition", "rel")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("source_id IS NOT NULL").distinct().orderBy("source_id")
@@ -228,6 +245,11 @@ def _topk(t: str, k: int) -> str:
       SELECT q.qid, e.id, round(1 - list_cosine_similarity(q.qvec, CAST(e.embedding AS DOUBLE[])), 9) distance FROM q CROSS JOIN (SELECT * FROM {t} WHERE {_OK}) e)) WHERE rank <= {k}"""
 
 
+def _scoped_topk(t: str, k: int) -> str:
+    return f"""SELECT qid, source_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY distance, id) rank FROM (
+      SELECT q.qid, e.source_id, e.id, round(1 - list_cosine_similarity(q.qvec, CAST(e.embedding AS DOUBLE[])), 9) distance FROM q CROSS JOIN (SELECT * FROM {t} WHERE {_OK} AND source_id IS NOT NULL) e)) WHERE rank <= {k}"""
+
+
 def _power_steps(n: int) -> list[tuple[str, str]]:
     steps = []
     for i in range(n):
@@ -306,7 +328,7 @@ def with_chain(last: str, select: str) -> str:
 
 
 _QUERIES = (
-    q_cosine, q_l2_norm, q_embed, q_seed_entities, q_seed_props, q_graph_edges, q_mentions, q_one_hop, q_two_hops, q_source_scope, q_sources, q_amplitude, q_amp_degenerate, q_amp_pivot,
+    q_cosine, q_l2_norm, q_embed, q_seed_entities, q_seed_props, q_graph_edges, q_mentions, q_one_hop, q_two_hops, q_source_scope, q_scoped_hop, q_scoped_props, q_sources, q_amplitude, q_amp_degenerate, q_amp_pivot,
     q_reweight, q_ppr, q_ppr_noedge, q_viz_nodes, q_viz_edges, q_assemble, q_picked, q_fetch_props, q_budget, q_answer_prompt, q_naive_citations, q_graph_pagerank, q_ann_recall,
 )
 
@@ -339,6 +361,12 @@ def oracle_sql() -> dict[str, str]:
         "q_one_hop": with_chain("hop", "SELECT qid, id, CAST(edge_no AS INT) edge_no FROM hop"),
         "q_two_hops": with_chain("hop", "SELECT qid, id, CAST(edge_no AS INT) edge_no FROM hop2").replace("\nSELECT qid, id, CAST", f",\n{two}\nSELECT qid, id, CAST"),
         "q_source_scope": with_chain("hop", "SELECT source_id, count(*) n_edges, count(DISTINCT qid) n_questions FROM hop GROUP BY 1"),
+        "q_scoped_hop": with_chain(
+            "q",
+            f"""SELECT qid, source_id, id, CAST(edge_no AS INT) edge_no FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY base_weight DESC, src, dst, predicate, id) edge_no FROM (
+      SELECT DISTINCT ON (s.qid, e.id) s.qid, e.* FROM edge e JOIN ({_scoped_topk("ent", 8)}) s ON s.source_id = e.source_id AND (s.id = e.src OR s.id = e.dst))) WHERE edge_no <= 2048""",
+        ),
+        "q_scoped_props": with_chain("q", f"SELECT s.qid, s.source_id, s.id pid, round(1 - s.distance, 6) sim, CAST(s.rank AS INT) rank, p.text FROM ({_scoped_topk('prop', 16)}) s JOIN prop p ON p.id = s.id"),
         "q_sources": "SELECT source_id FROM entity WHERE source_id IS NOT NULL UNION SELECT source_id FROM proposition WHERE source_id IS NOT NULL UNION SELECT source_id FROM rel WHERE source_id IS NOT NULL",
         "q_amplitude": with_chain("amp", "SELECT qid, axis, round(amplitude, 6) amplitude FROM amp"),
         "q_amp_degenerate": with_chain("ampraw", " UNION ALL ".join(settle.format(b=b) for b in ("0.0", "9.0", "-9.0"))),

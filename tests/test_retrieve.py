@@ -156,3 +156,18 @@ def test_backends(spark):
     assert [len(r.v) for r in vectors.embed(d, "t", "v", 16).collect()] == [16] * 3
     n = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>").select(vectors.normalised(F.col("v")).alias("n")).collect()
     assert n[0].n == pytest.approx([0.6, 0.8]) and n[1].n is None
+
+
+def test_each_source_is_asked_alone(spark):
+    """A large near source neither crowds out the seeds of a small one nor uses up its edges."""
+    qs = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, qvec array<double>")
+    rows = [(f"a{i}", [1.0, 0.01 * i], "big") for i in range(9)] + [("z1", [0.0, 1.0], "small"), ("z2", [0.1, 1.0], "small"), ("n", [1.0, 0.0], None)]
+    seeds = vectors.top_k(qs, spark.createDataFrame(rows, "id string, embedding array<float>, source_id string"), 2, 2, scope="source_id")
+    assert {(r.source_id, r.id, r["rank"]) for r in seeds.collect()} == {("big", "a0", 1), ("big", "a1", 2), ("small", "z2", 1), ("small", "z1", 2)}
+    e = [(f"e{i}", "a0", "x", "p", 9.0, "big") for i in range(5)] + [("s1", "z1", "a0", "p", 0.1, "small"), ("s2", "x", "z2", "p", 0.2, "small"), ("s3", "a0", "y", "p", 9.0, "small")]
+    e = spark.createDataFrame(e, "id string, src string, dst string, predicate string, base_weight double, source_id string")
+    assert {(r.source_id, r.id) for r in graph.one_hop(seeds, e, cap=2, scoped=True).collect()} == {("big", "e0"), ("big", "e1"), ("small", "s1"), ("small", "s2")}
+    assert {(r.source_id, r.id) for r in graph.hops(seeds, e, 2, cap=9, scoped=True).collect()} == {("big", f"e{i}") for i in range(5)} | {("small", f"s{i}") for i in (1, 2, 3)}
+    pick = spark.createDataFrame([("q", "big", "p1"), ("q", "small", "p1")], "qid string, source_id string, pid string")
+    p = spark.createDataFrame([("p1", "t", "d", "s", "small")], "id string, text string, source_doc string, source_span string, source_id string")
+    assert [(r.source_id, r.text) for r in retrieve.fetch(pick, p, scoped=True).collect()] == [("small", "t")]
