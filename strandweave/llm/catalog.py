@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import format_dupes, incremental, leakage, mixture, neighbours, truncation
@@ -33,8 +33,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, d), min_similarity=0.85)
 
 
+def every_hundredth(i: Column) -> Column:
+    """Whether a hex id is divisible by 100 (2^64 leaves 16); others are not."""
+    h = F.lpad(F.lower(F.replace(i, F.lit("-"), F.lit(""))), 32, "0")
+    part = lambda a: F.conv(F.substring(h, a, 16), 16, 10).cast("decimal(20,0)") % 100
+    return h.rlike("^[0-9a-f]{32}$") & ((part(1) * 16 + part(17)) % 100 == 0)
+
+
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
-    n = neighbours.neighbours(_vectors(spark, d))
+    """The five most similar of all rows for every row whose id is divisible by 100, however weak the similarity."""
+    n = neighbours.neighbours(_vectors(spark, d), asks=every_hundredth, **neighbours.THOROUGH)
     return n.select("tbl", neighbours.unpack_id(F.col("id")).alias("id"), neighbours.unpack_id(F.col("neighbour")).alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -59,21 +67,27 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.min("n_edits").alias("n_edits"))
 
 
-def _mixed(spark: SparkSession, d: str, **kw) -> DataFrame:
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_target"), **kw)
+def _mixed(spark: SparkSession, d: str, size) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_target"), size)
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)
+    """A mixture as large as what the listed sources hold; sources too small for their share fall short."""
+    return _mixed(spark, d, mixture.all_tokens)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.shares_report(_mixed(spark, d), table(spark, d, "source_target"))
+    """Target, reached and lacking shares of that mixture."""
+    return mixture.shares_report(_mixed(spark, d, mixture.all_tokens), table(spark, d, "source_target"))
+
+
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixture in which every source that has tokens keeps its share; the scarcest source sets its size."""
+    return _mixed(spark, d, mixture.largest_exact)
 
 
-def p7_fixed_size_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The shares reached where the mixture must be as large as what its sources hold."""
-    return mixture.shares_report(_mixed(spark, d, all_tokens=True), table(spark, d, "source_target"))
+def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares_report(_mixed(spark, d, mixture.largest_exact), table(spark, d, "source_target"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +125,7 @@ w AS (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_nearest, p5_found, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_fixed_size_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_nearest, p5_found, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_exact, p7_exact_shares, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

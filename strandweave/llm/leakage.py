@@ -1,10 +1,11 @@
 """Problem 6: evaluation texts that leaked into training texts.
 
 Pigeonhole edit matching. An item's text is cut into pieces so that every window of `min_words` words holds
-max_edits + 1 whole pieces side by side; a passage with at most `max_edits` wrong words then holds at least one piece unharmed. An
-automaton over all pieces finds their exact hits in one pass over each page; each hit is verified by Myers' bit-parallel distance
-(over words) of the item's windows around that piece against the page around the hit. The items are a table of fixed, checked size: a bound on their
-words is enforced before they go to the executors, and a larger set is worked off in blocks of that size.
+max_edits + 1 whole pieces side by side; a passage with at most `max_edits` wrong words then holds at least one piece unharmed. The items stay a
+table. Of their pieces a bit map of fixed size (`BITS`) goes to the tasks that read the pages, once and whole: what the map does not know is no
+piece. The few places that it does know are joined with the pieces on their hash, carrying the words around them, and each exact hit is verified by Myers'
+bit-parallel distance (over words) of the item's windows around that piece. More items fill the map and let more places pass, but none
+is lost, and neither side is collected; a piece that many items or pages hold is a skewed join key, which adaptive execution splits.
 
 Cases: null or empty pages and items match nothing; items shorter than `min_words` words match nothing; a null item_id is
 skipped; items that repeat give one row per page; an empty table gives no row; only doc_id, text and the
@@ -14,14 +15,18 @@ named item columns are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NOT_WORD = re.compile(r"[\W_]+")
-MAX_BLOCK_WORDS = 2_000_000
+BITS = 1 << 25
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
@@ -61,67 +66,116 @@ def pieces(n_words: int, min_words: int, max_edits: int) -> tuple[int, list[int]
     return length, list(range(0, n_words - length + 1, length))
 
 
-def _finder(items: list[tuple[str, str, list[str]]], min_words: int, max_edits: int):
-    import ahocorasick
-
-    auto, where = ahocorasick.Automaton(), {}
-    for k, (_, _, w) in enumerate(items):
-        length, starts = pieces(len(w), min_words, max_edits)
-        for s in starts:
-            where.setdefault(f" {' '.join(w[s : s + length])} ", []).append((k, s))
-    for p, at in where.items():
-        auto.add_word(p, (len(p), at))
-    auto.make_automaton()
-
-    def find(text: str) -> dict[int, int]:
-        """{item: fewest wrong words in any of its windows}"""
-        page = f" {_NOT_WORD.sub(' ', text.lower()).strip()} "
-        best: dict[int, int] = {}
-        w: list[str] = []
-        for end, (n, at) in auto.iter(page):
-            w = w or page.split()
-            pos = page.count(" ", 0, end - n + 2) - 1  # the piece's first word
-            for k, s in at:
-                if best.get(k, max_edits + 1) == 0:
+class _Hashes(dict):
+    """word -> 64-bit hash, computed once for each word of a task's batch."""
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        h = self[w] = xxhash.xxh64_intdigest(w)
+        return h
+
+
+def run_hashes(w: list[str], length: int, known: _Hashes) -> np.ndarray:
+    """The hash of each run of `length` words, by where it starts."""
+    if len(w) < length:
+        return np.zeros(0, np.uint64)
+    h = np.array([known[x] for x in w], np.uint64)
+    out = np.zeros(len(w) - length + 1, np.uint64)
+    for i in range(length):
+        out = (out ^ h[i : i + len(out)]) * _MULT
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def item_pieces(items: DataFrame, fields: list[str], min_words: int, max_edits: int) -> DataFrame:
+    """piece (hash), item_id, field, start (of the piece within around), around: the words of all windows that hold the piece."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out, known = [], _Hashes()
+            for i, f, t in zip(x["item_id"], x["field"], x["text"]):
+                w = words(t)
+                if len(w) < min_words:
                     continue
-                q = items[k][2]
-                for a in range(max(0, s - min_words + 1), min(s, len(q) - min_words) + 1):
-                    lo = pos - (s - a) - max_edits
-                    got = infix_distance(q[a : a + min_words], w[max(0, lo) : max(0, lo) + min_words + 2 * max_edits + (min(lo, 0))])
-                    if got < best.get(k, max_edits + 1):
-                        best[k] = got
+                length, starts = pieces(len(w), min_words, max_edits)
+                h = run_hashes(w, length, known)
+                for s in starts:
+                    lo = max(0, s + length - min_words)
+                    out.append((int(h[s].astype(np.int64)), i, f, s - lo, " ".join(w[lo : s + min_words])))
+            yield pd.DataFrame(out, columns=["piece", "item_id", "field", "start", "around"])
+
+    parts = [items.select(F.col("item_id").cast("string").alias("item_id"), F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]
+    rows = reduce(DataFrame.unionByName, parts).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    return rows.mapInPandas(run, "piece long, item_id string, field string, start int, around string").distinct()
+
+
+def bit_map(found: DataFrame) -> np.ndarray:
+    """Which hashes occur in found(piece), modulo BITS, as bits: tasks make maps, tasks join them part by part, the driver gets the whole, BITS / 8 bytes."""
+    parts = 32
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros(BITS, bool)
+        for x in batches:
+            m[x["piece"].to_numpy(np.int64).astype(np.uint64) % np.uint64(BITS)] = True
+        m = np.packbits(m).reshape(parts, -1)
+        yield pd.DataFrame([(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(m) if p.any()], columns=["part", "bits"])
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        m = reduce(np.bitwise_or, [np.frombuffer(zlib.decompress(b), np.uint8) for b in g["bits"]])
+        return pd.DataFrame({"part": [g["part"].iloc[0]], "bits": [zlib.compress(m.tobytes(), 1)]})
+
+    out = np.zeros((parts, BITS // 8 // parts), np.uint8)
+    for r in found.select("piece").mapInPandas(mark, "part int, bits binary").groupBy("part").applyInPandas(join, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return out.ravel()
+
+
+def _fewest_edits(passage: list[str], at: int, around: list[str], start: int, length: int, min_words: int, max_edits: int) -> int:
+    """Fewest wrong words of the item's windows that hold its piece, matched against the page around the piece's hit; more than max_edits if the piece
+    itself differs (a clash of hashes)."""
+    best = max_edits + 1
+    if around[start : start + length] != passage[at : at + length]:
         return best
-
-    return find
+    for a in range(max(0, start + length - min_words), min(start, len(around) - min_words) + 1):
+        lo = at - (start - a) - max_edits
+        best = min(best, infix_distance(around[a : a + min_words], passage[max(0, lo) : max(0, lo) + min_words + 2 * max_edits + min(lo, 0)]))
+        if not best:
+            break
+    return best
 
 
 def leaks(docs: DataFrame, items: DataFrame, fields: list[str], min_words: int = 12, max_edits: int = 1) -> DataFrame:
     """(doc_id, item_id, field, n_edits): pages that hold min_words consecutive words of an item's field with at most
     max_edits wrong words; n_edits is the fewest. n_edits = 0 is an exact passage."""
-    rows = items.select(F.col("item_id").cast("string"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).where("item_id IS NOT NULL").distinct()
-    blocks, block, size = [], [], 0
-    for r in rows.toLocalIterator():
-        for i, f in enumerate(fields):
-            w = words(r[f"f{i}"] or "")
-            if len(w) >= min_words:
-                if size + len(w) > MAX_BLOCK_WORDS:
-                    blocks, block, size = [*blocks, block], [], 0
-                block.append((r["item_id"], f, w))
-                size += len(w)
-    blocks.append(block)
-    pages = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    found = item_pieces(items, fields, min_words, max_edits)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(found))
+    length, _ = pieces(min_words, min_words, max_edits)
+    side = min_words - length + max_edits  # words that a window may hold on either side of a piece
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, known = shared.value, _Hashes()
+        for x in batches:
+            out = []
+            if len(known) > 1_000_000:
+                known.clear()
+            for d, t in zip(x["doc_id"], x["text"]):
+                w = words(t)
+                h = run_hashes(w, length, known)
+                slot = h % np.uint64(BITS)
+                for p in np.flatnonzero((bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1).tolist():
+                    lo = max(0, p - side)
+                    out.append((d, int(h[p].astype(np.int64)), p - lo, " ".join(w[lo : p + length + side])))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "at", "passage"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for z in batches:
+            e = [_fewest_edits(p.split(), a, r.split(), s, length, min_words, max_edits) for p, a, r, s in zip(z["passage"], z["at"], z["around"], z["start"])]
+            z = z[["doc_id", "item_id", "field"]].assign(n_edits=np.array(e, np.int32))
+            yield z[z["n_edits"] <= max_edits]
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = None
-    for b in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(b)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            its = shared.value
-            find = _finder(its, min_words, max_edits) if its else None
-            for x in batches:
-                got = [(d, its[k][0], its[k][1], e) for d, t in zip(x["doc_id"], x["text"]) for k, e in (find(t) if find else {}).items()]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "field", "n_edits"])
-
-        part = pages.mapInPandas(scan, f"doc_id {kind}, item_id string, field string, n_edits int")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id", "field").agg(F.min("n_edits").alias("n_edits"))
+    pages = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    hits = pages.mapInPandas(scan, f"doc_id {kind}, piece long, at int, passage string").join(found, "piece")
+    checked = hits.select("doc_id", "item_id", "field", "at", "passage", "start", "around").mapInPandas(verify, f"doc_id {kind}, item_id string, field string, n_edits int")
+    return checked.groupBy("doc_id", "item_id", "field").agg(F.min("n_edits").alias("n_edits"))

@@ -5,13 +5,13 @@ mixture's size is the source's cumulative demand for tokens; a document whose to
 supply gets the time at which the demand reaches that point (the inverse of a piecewise quadratic). The mixture is
 the documents range-sorted by that position.
 
-Cumulative supply is a prefix sum in two levels: documents fall by hash into `buckets` per source, bucket totals (a bounded table)
-are summed up, and a window sums within (source, bucket), so no source is ever in one task. A source is
+Cumulative supply is a prefix sum in two levels: documents fall by hash into as many buckets as their source has `bucket_rows` records, bucket totals are
+summed up (a window of one row a bucket), and a window sums within (source, bucket), so no source is ever in one task. A source is
 repeated in whole passes, at most max_repeats times.
 
-Without `total_tokens` the mixture is the largest in which every source that has tokens keeps its share; shares of listed sources without
-tokens cannot be met and are spread over the others in proportion. With `total_tokens` a source that runs out falls short, and
-the report says by how much.
+The size is stated: a number of tokens, or a function of plan()'s result. At a stated size a source that runs out falls short, and the report
+says by how much. `largest_exact` is the size up to which every source that has tokens keeps its share; `all_tokens` is what the listed sources
+hold. Shares of listed sources without tokens cannot be met and are spread over the others in proportion.
 
 Cases: null and empty texts have no tokens and are not used; null or unlisted sources are not used; a target that is null or not
 positive is no target; a null max_repeats is 1; equal doc_ids are separate records; a repeated source in the targets
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,11 +55,10 @@ def _encoder(path: str):
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, tokens of the whole text."""
-    path = path or tokenizer_file()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(path)
+        enc = _encoder(path or tokenizer_file())  # found where the task runs
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "source": x["source"], "tokens": [len(enc.encode_ordinary(t)) for t in x["text"]]})
 
@@ -94,35 +94,51 @@ def _time_at(y: Column) -> Column:
     return F.col("t0") + span * F.coalesce(F.when(F.abs(rise) > 1e-9 * (F.col("w0") + F.col("w1")), curved), flat, F.lit(0.0))
 
 
-def plan(counts: DataFrame, targets: DataFrame, total_tokens: float | None = None):
-    """(total, shares, repeats, supply): from the targets table, whose size is checked, and one row per listed source."""
+@dataclass(frozen=True)
+class Plan:
+    """What the targets and the supply say: shares that add up to 1, repeats, tokens and records of each source that has tokens."""
+
+    shares: dict[str, float]
+    repeats: dict[str, int]
+    tokens: dict[str, int]
+    records: dict[str, int]
+
+
+def largest_exact(p: Plan) -> float:
+    """The most tokens for which no source runs out."""
+    return min([p.tokens[s] * p.repeats[s] / p.shares[s] for s in p.shares] or [0.0])
+
+
+def all_tokens(p: Plan) -> float:
+    """As many tokens as the listed sources hold, each used once."""
+    return float(sum(p.tokens.values()))
+
+
+def plan(counts: DataFrame, targets: DataFrame) -> Plan:
+    """From the targets table, whose size is checked, and one row per listed source."""
     listed = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r"))
-    supply = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    supply = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records"))
     rows = listed.join(supply, "source", "left").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
-    have = {r["source"]: r["tokens"] for r in rows if r["tokens"]}
-    repeats = {r["source"]: max(0, int(r["r"])) for r in rows if r["source"] in have}
-    sum_ = sum(r["share"] for r in rows if r["source"] in have) or 1.0
-    shares = {r["source"]: r["share"] / sum_ for r in rows if r["source"] in have}
-    most = min([have[s] * repeats[s] / shares[s] for s in shares] or [0.0])
-    return (most if total_tokens is None else float(total_tokens)), shares, repeats, have
+    rows = [r for r in rows if r["tokens"]]
+    sum_ = sum(r["share"] for r in rows) or 1.0
+    return Plan({r["source"]: r["share"] / sum_ for r in rows}, {r["source"]: max(0, int(r["r"])) for r in rows}, {r["source"]: r["tokens"] for r in rows}, {r["source"]: r["records"] for r in rows})
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, all_tokens: bool = False, schedule=None, path: str | None = None, buckets: int = 256) -> DataFrame:
-    """position (0..1), doc_id, source, repeat_no (from 1), tokens - in training order."""
+def mix(docs: DataFrame, targets: DataFrame, size, schedule=None, path: str | None = None, bucket_rows: int = 100_000) -> DataFrame:
+    """position (0..1), doc_id, source, repeat_no (from 1), tokens - in training order. `size` is a number of tokens or largest_exact or all_tokens."""
     spark = docs.sparkSession
     counts = materialise(token_counts(docs, path).where("tokens > 0"), "tokens")
-    total, shares, repeats, have = plan(counts, targets, total_tokens)
-    if all_tokens:
-        total = float(sum(have.values()))
-    segs = _segments((schedule or tilted_schedule)(shares, repeats), total)
+    p = plan(counts, targets)
+    total = float(size(p) if callable(size) else size)
+    segs = _segments((schedule or tilted_schedule)(p.shares, p.repeats), total)
     seg = F.broadcast(spark.createDataFrame(segs, "source string, t0 double, t1 double, w0 double, w1 double, y0 double, y1 double"))
     rule = F.broadcast(
-        spark.createDataFrame([(s, total * shares[s], int(repeats[s]), int(have[s])) for s in shares], "source string, demand double, max_repeats int, supply long")
+        spark.createDataFrame([(s, total * p.shares[s], p.repeats[s], p.tokens[s], 1 + p.records[s] // bucket_rows) for s in p.shares], "source string, demand double, max_repeats int, supply long, buckets int")
     )
     used = counts.join(rule, "source")
-    used = used.withColumn("h", F.xxhash64("doc_id", F.lit(11))).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    used = used.withColumn("h", F.xxhash64("doc_id", F.lit(11))).withColumn("bucket", F.pmod("h", F.col("buckets")).cast("int"))
     sums = used.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).select("source", "bucket", "before")
     inner = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -137,10 +153,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
 
 
 def shares_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per listed source: target share, share reached, tokens, records, most uses of one record."""
+    """Per listed source: target share, share reached, what is lacking, tokens, records, most uses of one record."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_records"), F.max("repeat_no").alias("most_uses"))
     total = got.agg(F.sum("tokens").alias("all_tokens"))
     listed = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     full = listed.join(got, "source", "left").na.fill(0, ["tokens", "n_records", "most_uses"])
     share = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))
-    return full.join(F.broadcast(total)).select("source", "target_share", "max_repeats", "tokens", "n_records", "most_uses", F.round(share, 6).alias("actual_share"))
+    return full.join(F.broadcast(total)).select("source", "target_share", "max_repeats", "tokens", "n_records", "most_uses", F.round(share, 6).alias("actual_share"), F.round(F.greatest(F.lit(0.0), F.col("target_share") - share), 6).alias("shortfall"))

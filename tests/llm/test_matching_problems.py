@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandweave.llm import incremental, neighbours
+from strandweave.llm import catalog, incremental, neighbours
 
 # ---------------------------------------------------------------- 2
 
@@ -41,6 +41,31 @@ def test_recall_over_many_leaves(spark):
     assert len(got & want) / len(want) > 0.95 and len(got - want) / len(got) < 0.05
 
 
+def test_leaves_beyond_what_the_driver_fits(spark):
+    """A sample of 100 gives two levels on the driver; the others are fitted in tasks."""
+    x = _vectors(4, 4000)
+    d = spark.createDataFrame([(f"{i:032x}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    w, t = neighbours._routes_of(d, "t", 64, 250, sample=100)
+    assert len(t) == 15 and (np.linalg.norm(w, axis=1) > 0.99).all()
+    _, leaf = neighbours.routes(neighbours._unit(neighbours._codes(x)), w, t, np.zeros(len(x)), 1)
+    assert np.bincount(leaf, minlength=16).max() < 700
+    got = {(int(r.id_a, 16), int(r.id_b, 16)) for r in neighbours.similar_pairs({"t": d}, 0.8, leaf_rows=250, sample=100).collect()}
+    want = {(min(p), max(p)) for p in _nearest(x, 5, 0.8)}
+    assert len(got & want) / len(want) > 0.93
+
+
+def test_weak_neighbours_of_a_query_set(spark):
+    """The ids divisible by 100 against all rows, without a floor, at production settings over several leaves."""
+    x = np.random.default_rng(6).standard_normal((6000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).round(4)
+    d = spark.createDataFrame([(f"{i:032x}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    rows = neighbours.neighbours({"t": d}, asks=catalog.every_hundredth, leaf_rows=800, **neighbours.THOROUGH)
+    got = {(int(bytes(r.id)[1:].hex(), 16), int(bytes(r.neighbour)[1:].hex(), 16)) for r in rows.collect()}
+    want = {(i, j) for i, j in _nearest(x, 5, -1) if i % 100 == 0}
+    assert {i for i, _ in got} == set(range(0, 6000, 100)) and len(got) == 300
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_copies_and_unusable_vectors(spark):
     x = _vectors(3, 40)
     rows = [(f"v{i:02d}", x[i].tolist(), 0) for i in range(40)]

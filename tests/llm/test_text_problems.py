@@ -103,7 +103,7 @@ def test_mixture_meets_shares_and_caps(spark):
     docs += [(9001, "a", None), (9002, "a", ""), (9003, None, "x y"), (9004, "b", "same"), (9004, "b", "same")]
     d = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumns({"tokens": F.lit(1), "position": F.lit("x")})
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.1, 4), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
-    m = mixture.mix(d, t).collect()
+    m = mixture.mix(d, t, mixture.largest_exact, bucket_rows=50).collect()
     total = sum(r.tokens for r in m)
     share = {s: sum(r.tokens for r in m if r.source == s) / total for s in "abc"}
     for s, want in (("a", 5 / 9), ("b", 3 / 9), ("c", 1 / 9)):
@@ -113,9 +113,11 @@ def test_mixture_meets_shares_and_caps(spark):
     half = [r for r in m if r.position < 0.5]
     lo = {s: sum(r.tokens for r in half if r.source == s) / sum(r.tokens for r in half) for s in "ab"}
     assert lo["a"] > share["a"] and lo["b"] < share["b"]  # what is repeated comes later
-    rep = {r.source: r for r in mixture.shares_report(mixture.mix(d, t, all_tokens=True), t).collect()}
-    assert rep["none"].actual_share == 0 and rep["c"].most_uses <= 4 and rep["a"].most_uses == 1
-    assert mixture.mix(d.where("false"), t).count() == 0 and mixture.mix(d, t.where("false")).count() == 0
+    rep = {r.source: r for r in mixture.shares_report(mixture.mix(d, t, mixture.all_tokens), t).collect()}
+    assert rep["none"].actual_share == 0 and rep["none"].shortfall == 0.1 and rep["c"].most_uses <= 4 and rep["a"].most_uses == 1
+    assert all(r.shortfall == pytest.approx(max(0, r.target_share - r.actual_share), abs=1e-5) for r in rep.values())
+    assert sum(r.tokens for r in mixture.mix(d, t, 500).collect()) == pytest.approx(500, abs=60)
+    assert mixture.mix(d.where("false"), t, mixture.all_tokens).count() == 0 and mixture.mix(d, t.where("false"), mixture.all_tokens).count() == 0
 
 
 def test_times_invert_the_schedule():
