@@ -7,7 +7,7 @@ A forest of random-projection trees, searched through a queue that all trees sha
 2. The upper levels of the forest route every vector to one leaf of about `leaf_rows` rows, and to the leaves behind planes that it is closest
    to: the queue's order is the margin, at most `most_routes` leaves in all. There are as many levels as the number of vectors asks for: the first
    ones are fitted on the driver, on `SAMPLE` vectors a table, the further ones in tasks, on about `PER_LEAF` vectors for each
-   leaf. Only the planes are collected and broadcast: 260 bytes for each leaf of 64 numbers, at most `MAX_LEVELS` levels (1.5 billion vectors a table at
+   leaf. Only the planes are collected and broadcast: 260 bytes for each leaf of 64 numbers, at most `MAX_LEVELS` levels (2.6 billion vectors a table at
    the default leaf; more is an error, and a larger leaf the answer).
 3. Within each such leaf a forest is grown; every vector visits its own leaf in each tree and then the `visits` leaves with the smallest margins
    over all trees. Candidates are reranked by exact integer dot products; lists from several leaves are merged.
@@ -216,7 +216,7 @@ def forest_neighbours(codes: np.ndarray, k: int, floor: float, trees: int = 5, l
     return q[keep], r[keep], sim[keep]
 
 
-def neighbours(tables: dict[str, DataFrame], dim: int = 64, k: int = 5, min_similarity: float | None = None, asks=None, leaf_rows: int = 6_000, margin: float = 0.05, most_routes: int = 4, salts: int = 8, forest: dict | None = None, sample: int = SAMPLE) -> DataFrame:
+def neighbours(tables: dict[str, DataFrame], dim: int = 64, k: int = 5, min_similarity: float | None = None, asks=None, leaf_rows: int = 10_000, margin: float = 0.05, most_routes: int = 4, salts: int = 8, forest: dict | None = None, sample: int = SAMPLE) -> DataFrame:
     """{name: rows(id, embedding)} -> (tbl, id, neighbour, similarity): each usable vector's k most similar others.
 
     With min_similarity only neighbours at least that similar come out (and weaker candidates are dropped early). `asks` turns the id into

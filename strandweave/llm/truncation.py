@@ -1,7 +1,8 @@
 """Problem 8: texts cut off by field limits or in mid-transfer.
 
-Structural completeness check. A stack automaton reads each whole text: code fences, brackets, quotes, links and table rows
-that are still open at the end, broken multibyte sequences and escapes, marks of a cut ("[...]", "…"). An end that is none of
+Structural completeness check. A stack automaton reads each whole text: code fences and inline code, brackets, curly and straight quotes, strong
+emphasis, markup elements, links and table rows that are still open at the end, broken multibyte sequences, escapes and entities, marks of a
+cut ("[...]", "…"). What is open is cut, whatever is usual. An end that is none of
 these is judged against the corpus: a closing line without a full stop is complete if the corpus closes that way often
 enough; the last word of a list item, heading or link line must be known from other lines and not end lines far more seldom than words do;
 a source whose paragraphs usually end without terminators gives no evidence by a missing one (told from paragraphs that are not a text's
@@ -27,8 +28,17 @@ from pyspark.sql import functions as F
 
 from strandweave.session import materialise
 
-_TOKEN = re.compile(r"\n[ \t]*\n|^[ \t]*(?:```|~~~)[^\n]*$|[()\[\]{}“”«»]", re.M)
+_TOKEN = re.compile(
+    r"""(?P<gap>\n[ \t]*\n)|^[ \t]*(?P<fence>```|~~~)[^\n]*$|(?P<code>`+)|(?P<strong>\*\*)|(?P<end></[a-z][a-z0-9]*>)|(?P<tag><[a-z][a-z0-9]*(?:\s[^<>\n]*)?>)"""
+    r"""|(?P<quote>")|(?P<single>(?<![\w'])'(?=[^\W\d_])|(?<=[\w.,!?;])'(?!\w))|(?P<bracket>[()\[\]{}“”«»])""",
+    re.M,
+)
 _CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+# Elements that HTML ends with a tag of their own.
+_PAIRED = frozenset("a b i em strong code pre div span ul ol table tbody thead section article aside details summary blockquote h1 h2 h3 h4 h5 h6 sub sup kbd".split())
+_ENTITY = re.compile(r"&(?:#\d*|#x[0-9a-f]*|am?|amp|apo?|apos|lt?|gt?|quo?|quot|nbs?|nbsp)$")
+_PERCENT = re.compile(r"((?:%[0-9A-Fa-f]{2})+)(%[0-9A-Fa-f]?)?$")
+_ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)$")
 _MARK = re.compile(r"(?:\[\s*(?:\.\.\.|…)\s*\]|…)\s*$")
 _TERMINATED = re.compile(r"""[.?!:;。！？]["'”’»)\]*_`]*$""")
 _RUN = re.compile(r"[^\W_]+")
@@ -39,29 +49,68 @@ _BREAK = re.compile(r"\n\s*\n")
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
 _SENTENCE = re.compile(r"""[.?!。！？]["'”’»)\]*_`]*\s""")
 
+_OPEN = {"`": "open code", "*": "open emphasis", "<": "open markup", '"': "open quote", "'": "open quote", "“": "open quote", "«": "open quote"}
 FEATURES = "doc_id {kind}, source string, n_chars long, n_bytes long, reason string, line string, word string"
 
 
 def open_elements(text: str) -> list[str]:
-    """What is open at the end of text: inline elements end with their paragraph, fences with a fence."""
-    stack: list[str] = []
+    """What is open at the end of text, outermost first. Inline elements end with their paragraph, fences with a fence, markup elements with their tag."""
+    outer: list[str] = []  # markup elements, across paragraphs
+    stack: list[str] = []  # what ends with the paragraph
+    fence = ""
     for m in _TOKEN.finditer(text):
-        t = m.group()
-        fence = t.strip()[:3] if t.strip()[:3] in ("```", "~~~") else ""
-        if stack and stack[0] in ("```", "~~~"):
-            if fence == stack[0] and t.strip() == fence:
-                stack = []
-        elif fence:
-            stack = [fence]
-        elif t[0] == "\n":
+        kind, t = m.lastgroup, m.group()
+        if fence:
+            if kind == "fence" and m["fence"] == fence and t.strip() == fence:
+                fence = ""
+        elif kind == "fence":
+            fence, stack = m["fence"], []
+        elif kind == "gap":
             stack = []
+        elif stack and stack[-1][0] == "`":
+            if t == stack[-1]:
+                stack.pop()
+        elif kind == "code":
+            stack.append(t)
+        elif kind == "tag":
+            if t[1:-1].split()[0] in _PAIRED and not t.endswith("/>"):
+                outer.append(t[1:-1].split()[0])
+        elif kind == "end":
+            if t[2:-1] in outer:
+                while outer.pop() != t[2:-1]:
+                    pass
+        elif kind in ("quote", "strong", "single"):
+            opens = kind != "single" or not text[m.start() - 1 : m.start()].strip(".,!?;").isalnum()
+            if t in stack:
+                while stack.pop() != t:
+                    pass
+            elif opens and not (kind == "quote" and text[m.start() - 1 : m.start()].isdigit()):  # not the sign of inches
+                stack.append(t)
         elif t in _CLOSES:
             if _CLOSES[t] in stack:
                 while stack.pop() != _CLOSES[t]:
                     pass
         else:
             stack.append(t)
-    return stack
+    return [fence] if fence else [f"<{e}>" for e in outer] + stack
+
+
+def open_sequence(body: str) -> str | None:
+    """A character, escape or entity that the end of body breaks off."""
+    if body[-1] == "�" or 0xD800 <= ord(body[-1]) <= 0xDFFF:
+        return "broken character"
+    if (len(body) - len(body.rstrip("\\"))) % 2 or _ESCAPE.search(body):
+        return "open escape"
+    if _ENTITY.search(body):
+        return "open entity"
+    m = _PERCENT.search(body)
+    if m:
+        try:
+            bytes.fromhex(m[1].replace("%", "")).decode("utf-8")
+        except UnicodeDecodeError as e:
+            return "open escape" if e.reason == "unexpected end of data" else None
+        return "open escape" if m[2] else None
+    return None
 
 
 def closing_line(line: str) -> str:
@@ -76,10 +125,9 @@ def judge(text: str) -> tuple[str | None, str | None, str | None]:
     body = text.rstrip()
     if not body:
         return None, None, None
-    if body[-1] == "�" or 0xD800 <= ord(body[-1]) <= 0xDFFF:
-        return "broken character", None, None
-    if (len(body) - len(body.rstrip("\\"))) % 2:
-        return "open escape", None, None
+    broken = open_sequence(body)
+    if broken:
+        return broken, None, None
     lines = [x for x in body.split("\n") if x.strip()]
     last = lines[-1].strip()
     if _MARK.search(body):
@@ -92,7 +140,7 @@ def judge(text: str) -> tuple[str | None, str | None, str | None]:
         short = before.startswith("|") and before.endswith("|") and last.count("|") < before.count("|")
         return ("open table row", None, None) if len(last) < 2 or not last.endswith("|") or short else (None, None, None)
     if stack:
-        return "open bracket", None, None
+        return _OPEN.get(stack[-1][0], "open bracket"), None, None
     if re.search(r"<[A-Za-z/!][^<>]*$", last):
         return "open markup", None, None
     if re.match(r"^(```|~~~|-{3,}|\*{3,}|={3,})", last):
