@@ -11,6 +11,9 @@ from strandweave.sources.tables import ref_id
 
 # Scaffold and per-proposition allowances in characters, characters per token.
 SCAFFOLD, PER_PROPOSITION, CHARS_PER_TOKEN = 200, 100, 4
+# How citations are written, and the phrases of finetuning prompts.
+MARK, NUMBER = r"\[(P\d+(?:\s*[,;]\s*P\d+)*)\]", r"P(\d+)"
+LEAD, ASK, STATE = "Answer this question grounded in the corpus: ", "What does the corpus say about ", "State the fact: "
 
 
 def within_budget(fetched: DataFrame, questions: DataFrame, budget_tokens: int = 4000) -> DataFrame:
@@ -18,7 +21,7 @@ def within_budget(fetched: DataFrame, questions: DataFrame, budget_tokens: int =
     q = questions.select("qid", F.length("question").alias("q_len"))
     w = W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     cost = F.col("q_len") + SCAFFOLD + F.sum(F.coalesce(F.length("text"), F.lit(0)) + PER_PROPOSITION).over(w)
-    rows = fetched.join(F.broadcast(q), "qid").withColumn("cost", cost).withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("rank")))
+    rows = fetched.join(q, "qid").withColumn("cost", cost).withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("rank")))
     return rows.where((F.col("cost") <= budget_tokens * CHARS_PER_TOKEN) | (F.col("n") == 1))
 
 
@@ -34,12 +37,12 @@ def answer_prompts(kept: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def citations(answers: DataFrame, n: str = "n_propositions") -> DataFrame:
-    """qid, pos, cited: the numbers in [P1], [P1, P2; P3] in order, repeats kept, numbers beyond n dropped."""
-    marks = F.regexp_extract_all("answer", F.lit(r"\[(P\d+(?:\s*[,;]\s*P\d+)*)\]"), F.lit(1))
+    """qid, mark_no, part_no, cited: the numbers in [P1], [P1, P2; P3] in order, repeats kept, numbers beyond n dropped."""
+    marks = F.regexp_extract_all("answer", F.lit(MARK), F.lit(1))
     one = answers.select("qid", F.col(n).alias("n"), F.posexplode(marks).alias("i", "m"))
-    num = one.select("qid", "n", "i", F.posexplode(F.regexp_extract_all("m", F.lit(r"P(\d+)"), F.lit(1))).alias("j", "d"))
-    num = num.select("qid", (F.col("i") * 1000 + F.col("j")).alias("pos"), F.col("d").cast("long").alias("cited"), "n")
-    return num.where((F.col("cited") >= 1) & (F.col("cited") <= F.col("n"))).select("qid", "pos", "cited")
+    num = one.select("qid", "n", "i", F.posexplode(F.regexp_extract_all("m", F.lit(NUMBER), F.lit(1))).alias("j", "d"))
+    num = num.select("qid", F.col("i").alias("mark_no"), F.col("j").alias("part_no"), F.try_to_number("d", F.lit("9" * 18)).cast("long").alias("cited"), "n")
+    return num.where((F.col("cited") >= 1) & (F.col("cited") <= F.col("n"))).select("qid", "mark_no", "part_no", "cited")
 
 
 def word_count(text: Column) -> Column:
@@ -48,26 +51,27 @@ def word_count(text: Column) -> Column:
 
 
 def supporting_edges(propositions: DataFrame, e: DataFrame) -> DataFrame:
-    """Each proposition with its supporting edges, in order of (src, dst, predicate, id); none gives an empty list."""
-    s = e.select(F.explode("support").alias("pid"), "src", "dst", "predicate", "axis", F.col("id").alias("eid")).distinct()
-    by = s.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "predicate", "eid", "axis"))).alias("edges"))
+    """Adds n_edges, said (the first edge's predicate in order of src, dst, predicate, id, of those that have one), axes and predicates (sorted, without repeats): of
+    a proposition's supporting edges. All of them combine on the map side, so one that many edges support costs one row a task."""
+    named = lambda c: F.when(F.col(c) != "", F.col(c))
+    s = e.select(F.explode(F.array_distinct("support")).alias("pid"), "src", "dst", "predicate", "axis", F.col("id").alias("eid")).dropDuplicates(["pid", "eid"])
+    first = F.min(F.when(named("predicate").isNotNull(), F.struct("src", "dst", "predicate", "eid")))["predicate"]
+    by = s.groupBy("pid").agg(F.count(F.lit(1)).alias("n_edges"), first.alias("said"), F.array_sort(F.collect_set(named("axis"))).alias("axes"), F.array_sort(F.collect_set(named("predicate"))).alias("predicates"))
     out = propositions.join(by, ref_id(F.col("id")) == F.col("pid"), "left").drop("pid")
-    return out.withColumn("edges", F.coalesce("edges", F.array().cast(by.schema["edges"].dataType)))
+    none = F.array().cast("array<string>")
+    return out.withColumns({"n_edges": F.coalesce("n_edges", F.lit(0)), "axes": F.coalesce("axes", none), "predicates": F.coalesce("predicates", none)})
 
 
-def training_examples(with_edges: DataFrame, lead: str = "Answer this question grounded in the corpus: ") -> DataFrame:
+def training_examples(with_edges: DataFrame, lead: str = LEAD) -> DataFrame:
     """id, source, source_id, prompt, completion, axes, predicates."""
     text = F.coalesce("text", F.lit(""))
-    said = F.get(F.filter(F.transform("edges", lambda x: x["predicate"]), lambda p: p.isNotNull() & (p != "")), F.lit(0))
     short = F.concat(F.regexp_replace(F.left(text, F.lit(60)), r"\.+$", ""), F.when(F.length(text) > 60, "...").otherwise(""))
-    names = lambda f: F.array_sort(F.array_distinct(F.filter(F.transform("edges", lambda x: x[f]), lambda p: p.isNotNull() & (p != ""))))
-    some = F.size("edges") > 0
     return with_edges.select(
         "id",
         F.concat(F.coalesce("source_doc", F.lit("")), F.lit("#"), F.coalesce("source_span", F.lit(""))).alias("source"),
         F.coalesce("source_id", F.lit("default")).alias("source_id"),
-        F.coalesce(F.when(some, F.concat(F.lit(lead), F.lit("What does the corpus say about "), said, F.lit("?"))), F.concat(F.lit("State the fact: "), short)).alias("prompt"),
+        F.coalesce(F.concat(F.lit(lead), F.lit(ASK), F.col("said"), F.lit("?")), F.concat(F.lit(STATE), short)).alias("prompt"),
         text.alias("completion"),
-        names("axis").alias("axes"),
-        names("predicate").alias("predicates"),
+        "axes",
+        "predicates",
     )

@@ -36,11 +36,11 @@ def bucketed(df: DataFrame, vec: str, tables: int, bits: int, dim: int, near: in
     return df.withColumn("x", F.explode(buckets(F.col(vec)))).select(*df.columns, F.col("x.t").alias("t"), F.col("x.b").alias("b"))
 
 
-def bucket_top_k(questions: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, near: int = 3, dim: int = 64) -> DataFrame:
+def bucket_top_k(questions: DataFrame, vectors: DataFrame, k: int, tables: int = 20, bits: int = 6, near: int = 5, dim: int = 64) -> DataFrame:
     """questions(qid, qvec), vectors(id, embedding) -> qid, id, distance, rank among the rows that share a bucket. Without a
     bucket in common nothing is found, so fewer than k rows may come out; `top_k` is the exact way."""
     q = bucketed(questions.select("qid", "qvec").where(usable("qvec", dim)), "qvec", tables, bits, dim, near)
     v = bucketed(vectors.select("id", "embedding").where(usable("embedding", dim)), "embedding", tables, bits, dim, 0)
-    hit = v.join(F.broadcast(q), ["t", "b"]).select("qid", "qvec", "id", "embedding").dropDuplicates(["qid", "id"])
+    hit = v.join(q, ["t", "b"]).select("qid", "qvec", "id", "embedding").dropDuplicates(["qid", "id"])
     d = hit.select("qid", "id", F.round(1 - cosine(F.col("qvec"), F.col("embedding")), 9).alias("distance"))
     return d.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)

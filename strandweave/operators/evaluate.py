@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value: what may stand around a score.
+AROUND = "[](){}.,;:'\"-"
+
+
 def leaf(ref: Column) -> Column:
     """Lower-cased last part of a reference's section."""
     section = F.get(F.split(ref, "#", 2), F.lit(1))
@@ -38,12 +42,12 @@ def recall_at_k(gold: Column, retrieved: Column, k: int) -> Column:
 
 def judge_score(text: Column) -> Column:
     """The first token that, stripped of brackets and punctuation, is a number from 0 to 4; else 0."""
-    tokens = F.transform(F.split(F.trim(text), r"\s+"), lambda t: F.trim(t, F.lit("[](){}.,;:'\"-")))
+    tokens = F.transform(F.split(F.trim(text), r"\s+"), lambda t: F.trim(t, F.lit(AROUND)))
     return F.coalesce(F.get(F.filter(tokens, lambda t: t.rlike("^[0-4]$")), F.lit(0)).cast("int"), F.lit(0))
 
 
 def medians(rows: DataFrame, by: list[str]) -> DataFrame:
-    names = ("correctness", "latency_ms", "tokens", "citation_precision", "citation_recall")
+    names = ("correctness", "chars_read", "tokens", "citation_precision", "citation_recall")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.median(c).cast("double").alias(f"median_{c}") for c in names])
 
 

@@ -20,16 +20,26 @@ class PropertyGraph:
     edges: DataFrame
 
 
+def living(df: DataFrame) -> DataFrame:
+    """The rows of ids that no row marks as deleted. Rows that repeat an id stay: only the dead ids are looked up, wide columns aren't moved."""
+    dead = df.where("deleted_at IS NOT NULL AND id IS NOT NULL").select("id").distinct()
+    return df.drop("deleted_at").where("id IS NOT NULL").join(dead, "id", "left_anti")
+
+
 def live(df: DataFrame) -> DataFrame:
-    """One row per id; none for an id that any row marks as deleted."""
+    """One row per id; none for an id that any row marks as deleted. Moves the columns that are asked for: for vectors and texts see `living`."""
     cols = [F.first(c).alias(c) for c in df.columns if c not in ("id", "deleted_at")]
-    return df.groupBy("id").agg(*cols, F.count("deleted_at").alias("__dead")).where("__dead = 0").drop("__dead")
+    return df.where("id IS NOT NULL").groupBy("id").agg(*cols, F.count("deleted_at").alias("__dead")).where("__dead = 0").drop("__dead")
 
 
 def edges(rel: DataFrame) -> DataFrame:
-    """id, src, dst, predicate, axis, base_weight, support, source_id: one row per id, dangling null ends left out."""
-    one = rel.groupBy("id").agg(*[F.first(c).alias(c) for c in ("src_id", "dst_id", "predicate", "ontology_axis", "base_weight", "support_propositions", "source_id")])
-    return one.where("src_id IS NOT NULL AND dst_id IS NOT NULL").select(
+    """edge_rows with one row per id."""
+    return edge_rows(rel.groupBy("id").agg(*[F.first(c).alias(c) for c in ("src_id", "dst_id", "predicate", "ontology_axis", "base_weight", "support_propositions", "source_id")]))
+
+
+def edge_rows(rel: DataFrame) -> DataFrame:
+    """id, src, dst, predicate, axis, base_weight, support, source_id: dangling null ends left out. Rows that repeat an id stay."""
+    return rel.where("src_id IS NOT NULL AND dst_id IS NOT NULL").select(
         "id",
         ref_id("src_id").alias("src"),
         ref_id("dst_id").alias("dst"),
@@ -124,6 +134,25 @@ def merge_weight(old: Column, fold: Column, n: Column, first_b: Column) -> Colum
     return old * half + fold - first_b * half
 
 
+EDGE_STATE = ("n_assertions", "source_id", "base_weight", "axis", "axis_counts", "support")
+
+
+def merge_edges(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Existing edges with newly folded ones: w * 2^-n + fold, votes added, support appended; the latest source stays."""
+    o = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("n_assertions", "source_id", "base_weight", "axis", "axis_counts", "support")])
+    b = o.join(new.select(*keys, "n_assertions", "source_id", "base_weight", "axis", "axis_counts", "support", "first_b"), keys, "full")
+    n = F.coalesce("n_assertions", F.lit(0))
+    added = merge_weight(F.col("o_base_weight"), F.col("base_weight"), n, F.col("first_b"))
+    weight = F.when(F.col("o_n_assertions").isNull(), F.col("base_weight")).when(n == 0, F.col("o_base_weight")).otherwise(added)
+    counts = F.map_zip_with(F.coalesce("o_axis_counts", F.create_map().cast("map<string,int>")), F.coalesce("axis_counts", F.create_map().cast("map<string,int>")), lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    none = F.array().cast("array<string>")
+    support = F.reverse(F.slice(F.reverse(F.array_distinct(F.concat(F.coalesce("o_support", none), F.coalesce("support", none)))), 1, KEPT_SUPPORT))
+    out = b.select(*keys, (F.coalesce("o_n_assertions", F.lit(0)) + n).cast("long").alias("n_assertions"), F.coalesce("source_id", "o_source_id").alias("source_id"), weight.alias("base_weight"), F.coalesce("axis", "o_axis").alias("cur"), counts.alias("axis_counts"), support.alias("support"))
+    top = F.array_max(F.map_values("axis_counts"))
+    lead = F.get(F.map_keys(F.map_filter("axis_counts", lambda k, v: v == top)), F.lit(0))
+    return out.withColumn("axis", F.when(F.element_at("axis_counts", F.col("cur")) == top, F.col("cur")).otherwise(lead)).select(*keys, "n_assertions", "source_id", "base_weight", "axis", "axis_counts", "support")
+
+
 def upsert_entities(mentions: DataFrame, seq: list[str], existing: DataFrame | None = None) -> DataFrame:
     """mentions(name, source_id, *seq) -> id, name, kind, mention_count, source_id: by lower-cased name; the first
     spelling stays, the last source wins, the count grows with every mention but the first."""

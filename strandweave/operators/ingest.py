@@ -33,6 +33,7 @@ def source_id(arg: Column) -> Column:
 def pack(spans: DataFrame, max_tokens: int = 1200, overlap_tokens: int = 100) -> DataFrame:
     """spans(doc_id, section_path, span_no, text, hash) -> doc_id, section_path, buffer_no, text, span_hashes.
 
+    A section of a document is one run of spans and lies in one task, as each buffer depends on the one before it.
     A section's spans are packed in order up to max_tokens; a full buffer leaves its last characters and last hash to the next; a
     span is never split. Rows are sorted within partitions and folded as a stream: the state of one
     buffer is all that is held, whatever a document's size."""
@@ -162,9 +163,9 @@ def proposition_id(source: Column, doc: Column, section: Column, text: Column, n
 
 
 def surfaces(t: DataFrame) -> DataFrame:
-    """unit_id, surface, first_pos: each unit's distinct entity spellings, by first appearance."""
-    pos = lambda k: (F.col("prop_no") * 2_000_000 + F.col("triple_no") * 2 + k).cast("long")
-    s = t.select("unit_id", F.explode(F.array(F.struct(F.col("subject").alias("surface"), pos(0).alias("p")), F.struct(F.col("object").alias("surface"), pos(1).alias("p")))).alias("x"))
+    """unit_id, surface, first_pos (prop_no, triple_no, side: 0 subject, 1 object): each unit's distinct entity spellings, by first appearance."""
+    said = lambda c, side: F.struct(F.col(c).alias("surface"), F.struct("prop_no", "triple_no", F.lit(side).alias("side")).alias("p"))
+    s = t.select("unit_id", F.explode(F.array(said("subject", 0), said("object", 1))).alias("x"))
     return s.where("x.surface IS NOT NULL").groupBy("unit_id", F.col("x.surface").alias("surface")).agg(F.min("x.p").alias("first_pos"))
 
 

@@ -95,7 +95,8 @@ def fetch(pick: DataFrame, propositions: DataFrame, scoped: bool = False) -> Dat
     """The picked propositions' texts, in rank order within a question. Texts are joined last, to the ranked ids only.
     With `scoped`, pick has a source_id too, and only propositions of that source come out."""
     p = propositions.select(F.col("id").alias("pid"), "text", "source_doc", "source_span", "source_id")
-    return pick.join(p, ["pid", "source_id"] if scoped else "pid")
+    by = ["pid", "source_id"] if scoped else ["pid"]
+    return pick.join(p, by).dropDuplicates(["qid", *by])
 
 
 def graph_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10, every: int = 2) -> DataFrame:

@@ -1,6 +1,6 @@
 """Extraction units: typed rows and raw JSON payloads brought to one nested schema.
 
-A payload counts once a code fence, string quoting or a single outer object is taken off. What is then not one complete JSON
+A payload counts once code fences, string quoting and single outer objects are taken off, up to eight layers of text and four of objects. What is then not one complete JSON
 object gives no row (broken or cut JSON, null, a list, a duplicate key, text behind the object). A single object in
 place of a list is a list of one; null elements keep their position; an element that is neither null nor an object keeps its place with
 null fields (a proposition keeps a string as its text); any other value in place of a list is no list. Keys may come in any order, be
@@ -16,7 +16,7 @@ TRIPLE_FIELDS = {"subject": "string", "predicate": "string", "object": "string",
 TRIPLE_DDL = "struct<subject:string,predicate:string,object:string,ontology_axis:string,confidence:double>"
 PROPOSITIONS_DDL = f"array<struct<text:string,triples:array<{TRIPLE_DDL}>>>"
 _FENCE = r"(?s)^\s*```[^\n`{\[]*\n?(.*?)\s*```\s*$"
-_WRAPPINGS = 2
+LAYERS, OBJECTS = 8, 4
 
 
 def _let(c: Column, f) -> Column:
@@ -35,7 +35,8 @@ def _unquote(s: Column) -> Column:
 
 
 def _unfence(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, _FENCE, "$1"), F.lit(" \t\r\n\ufeff"))
+    """One fence off; what has none only loses the blanks around it."""
+    return _let(F.trim(s, F.lit(" \t\r\n\ufeff")), lambda x: F.when(F.startswith(x, F.lit("```")), F.trim(F.regexp_replace(x, _FENCE, "$1"), F.lit(" \t\r\n\ufeff"))).otherwise(x))
 
 
 def _unwrap(v: Column) -> Column:
@@ -51,10 +52,12 @@ def _unwrap(v: Column) -> Column:
 def parse_payload(df: DataFrame, payload: str) -> DataFrame:
     """Adds `__v`: the payload's object as a variant, wrapping taken off; null where there is none."""
     s = _unfence(F.col(payload))
-    for _ in range(_WRAPPINGS):  # each pass takes one layer of quoting off
-        s = _let(s, lambda x: _unfence(_unquote(x)))
+    for _ in range(LAYERS):  # each pass takes one layer of quoting off, and a fence within
+        s = _let(s, lambda x: F.when(F.startswith(x, F.lit("{")), x).otherwise(_unfence(_unquote(x))))
     whole = _let(s, lambda x: F.when(F.startswith(x, F.lit("{")) & F.endswith(x, F.lit("}")), F.try_parse_json(x)))
-    return df.withColumn("__v", _let(whole, _unwrap))
+    for _ in range(OBJECTS):
+        whole = _let(whole, _unwrap)
+    return df.withColumn("__v", whole)
 
 
 def _as_list(v: Column) -> Column:

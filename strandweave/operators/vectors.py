@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -94,15 +95,29 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
-def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64, scope: str | None = None) -> DataFrame:
+def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64, scope: str | None = None, block: int = MAX_QUESTIONS) -> DataFrame:
     """questions(qid, qvec), vectors(id, embedding) -> qid, id, distance, rank: each question's k nearest by cosine distance,
-    equal distances (to 9 digits) by id. Each task keeps k candidates per question; one window merges them.
+    equal distances (to 9 digits) by id. Each task keeps k candidates per question; one window merges them. Rows that repeat an id count once. The
+    questions go to the tasks in blocks of about `block`, each of which reads the vectors once.
 
     With scope, a text column of vectors, each question asks each value of it alone: k rows per (qid, value), the column in the
     result; vectors without a value belong to no scope."""
-    rows = questions.limit(MAX_QUESTIONS + 1).collect()
-    if len(rows) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions in one batch")
+    q = questions.select("qid", "qvec")
+    rows = q.limit(block + 1).collect()
+    if len(rows) <= block:
+        parts = [_nearest(q, rows, vectors, k, dim, scope)]
+    else:
+        n = -(-2 * q.count() // block)
+        at = F.pmod(F.xxhash64("qid"), F.lit(n))
+        parts = [_nearest(q, q.where(at == i).collect(), vectors, k, dim, scope) for i in range(n)]
+    by = [scope] if scope else []
+    w = W.partitionBy("qid", *by).orderBy("distance", "id")
+    part = reduce(DataFrame.unionByName, parts).dropDuplicates(["qid", *by, "id"])
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(questions: DataFrame, rows: list, vectors: DataFrame, k: int, dim: int, scope: str | None) -> DataFrame:
+    """Each task's k nearest to each of the questions in rows."""
     qids = [r["qid"] for r in rows]
     q = np.array([r["qvec"] for r in rows], np.float64).reshape(-1, dim)
     n = np.linalg.norm(q, axis=1, keepdims=True)
@@ -125,34 +140,35 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64, scope
             for n, v in enumerate(np.array(b.column(scope).to_pylist(), object)[ok] if scope else ()):
                 parts.setdefault(v, []).append(n)
             for v, at in parts.items():
-                best_d, best_i = best.get(v) or (np.full((len(ids), 0), 2.0), np.empty((len(ids), 0), object))
-                d = np.concatenate([best_d, every[:, at]], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(own[at], (len(ids), len(at)))], axis=1)
-                order = np.array([np.lexsort((i[r].astype(str), d[r]))[:k] for r in range(len(ids))]) if d.shape[1] <= 4 * k else _best(d, i, k)
-                best[v] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        for v, (best_d, best_i) in best.items():
-            if not best_d.shape[1]:
-                continue
-            w = best_d.shape[1]
-            cols = [pa.array(np.repeat(np.array(ids, object), w).tolist()), pa.array(best_i.ravel().tolist()), pa.array(best_d.ravel())]
-            extra = [pa.array([v] * best_d.size, pa.string())] if scope else []
-            yield pa.RecordBatch.from_arrays(cols + extra, ["qid", "id", "distance"] + ([scope] if scope else []))
+                got = best.setdefault(v, [[] for _ in ids])
+                d = every[:, at]
+                for r in range(len(ids)):
+                    c = np.argpartition(d[r], 4 * k)[: 4 * k] if d.shape[1] > 4 * k else np.arange(d.shape[1])
+                    new = _first(got[r] + list(zip(d[r, c].tolist(), own[at][c].tolist())), k)
+                    if len(new) < k or (d.shape[1] > 4 * k and d[r, c].max() <= new[-1][0]):  # repeats or ties beyond what was looked at
+                        new = _first(got[r] + list(zip(d[r].tolist(), own[at].tolist())), k)
+                    got[r] = new
+        for v, got in best.items():
+            flat = [(q, i, d) for q, g in zip(ids, got) for d, i in g]
+            if flat:
+                cols = [pa.array([f[n] for f in flat]) for n in range(3)] + ([pa.array([v] * len(flat), pa.string())] if scope else [])
+                yield pa.RecordBatch.from_arrays(cols, ["qid", "id", "distance"] + ([scope] if scope else []))
 
     qkind = questions.schema["qid"].dataType.simpleString()
     by = [scope] if scope else []
-    rows = vectors.select("id", "embedding", *by).where("embedding IS NOT NULL")
+    rows = vectors.select("id", "embedding", *by).where("id IS NOT NULL AND embedding IS NOT NULL")
     for c in by:
         rows = rows.where(F.col(c).isNotNull())
-    part = rows.mapInArrow(run, f"qid {qkind}, id {kind}, distance double" + "".join(f", {c} string" for c in by))
-    w = W.partitionBy("qid", *by).orderBy("distance", "id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest of each row, ties by id."""
-    cut = np.partition(d, k - 1, axis=1)[:, k - 1]
-    out = np.empty((len(d), k), np.int64)
-    for r in range(len(d)):
-        c = np.flatnonzero(d[r] <= cut[r])
-        out[r] = c[np.lexsort((ids[r, c].astype(str), d[r, c]))[:k]]
+    return rows.mapInArrow(run, f"qid {qkind}, id {kind}, distance double" + "".join(f", {c} string" for c in by))
+
+
+def _first(pairs: list[tuple], k: int) -> list[tuple]:
+    """The k smallest (distance, id), each id once."""
+    out, seen = [], set()
+    for d, i in sorted(pairs):
+        if i not in seen:
+            seen.add(i)
+            out.append((d, i))
+            if len(out) == k:
+                break
     return out

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.axes import AXES
+from strandweave.config import Config
 from strandweave.operators import answer, graph, ingest, vectors
 from strandweave.plans.retrieval import propositions, with_chain
 from strandweave.sources import markdown
 from strandweave.sources.tables import table
 
+CFG = Config()
 LEDGER_UNTIL = 12  # spans of earlier batches count as ledgered
 
 
@@ -66,11 +68,19 @@ def q_source_id(spark: SparkSession, d: str) -> DataFrame:
     return folders.unionByName(table(spark, d, "entity").select(F.col("source_id").alias("arg"))).where("arg IS NOT NULL").distinct().select("arg", ingest.source_id(F.col("arg")).alias("source_id"))
 
 
-def q_buffers(spark: SparkSession, d: str) -> DataFrame:
-    """Spans packed to buffers of 60 tokens with an overlap of 10."""
+def _packed(spark: SparkSession, d: str, most: int, overlap: int) -> DataFrame:
     s = distinct_spans(spark, d).select("doc_id", "section_path", F.col("span_id").alias("span_no"), "text", "hash")
-    b = ingest.pack(s, 60, 10)
-    return b.select("doc_id", "section_path", "buffer_no", F.size("span_hashes").alias("n_spans"), F.length("text").alias("n_chars"))
+    return ingest.pack(s, most, overlap).select("doc_id", "section_path", "buffer_no", F.size("span_hashes").alias("n_spans"), F.length("text").alias("n_chars"))
+
+
+def q_buffers(spark: SparkSession, d: str) -> DataFrame:
+    """Spans packed to buffers as configured."""
+    return _packed(spark, d, CFG.ingest.span_max_tokens, CFG.ingest.overlap_tokens)
+
+
+def q_small_buffers(spark: SparkSession, d: str) -> DataFrame:
+    """Spans packed to buffers of 250 tokens with an overlap of 25, so that packing and overflow are both frequent."""
+    return _packed(spark, d, 250, 25)
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +128,7 @@ def q_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_entity_surface(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.surfaces(_triples(spark, d))
+    return ingest.surfaces(_triples(spark, d)).select("unit_id", "surface", "first_pos.prop_no", "first_pos.triple_no", "first_pos.side")
 
 
 def q_triple_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -162,11 +172,11 @@ def q_rel_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_prop_edges(spark: SparkSession, d: str) -> DataFrame:
-    return answer.supporting_edges(propositions(spark, d), graph.edges(table(spark, d, "rel"))).select("id", F.size("edges").alias("n_edges"))
+    return answer.supporting_edges(propositions(spark, d), graph.edge_rows(table(spark, d, "rel"))).select("id", F.col("n_edges").cast("int").alias("n_edges"))
 
 
 def q_export_finetune(spark: SparkSession, d: str) -> DataFrame:
-    x = answer.training_examples(answer.supporting_edges(propositions(spark, d), graph.edges(table(spark, d, "rel"))))
+    x = answer.training_examples(answer.supporting_edges(propositions(spark, d), graph.edge_rows(table(spark, d, "rel"))))
     return x.select("id", "source", "source_id", "prompt", "completion", F.array_join("axes", ",").alias("axes"), F.array_join("predicates", "|").alias("predicates"))
 
 
@@ -186,7 +196,7 @@ def q_dimension_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    q_span_text, q_span_markdown, q_span_pages, q_span_hash, q_token_estimate, q_source_id, q_buffers, q_ledger_filter, q_ledger_merge, q_ingest_stats, q_strip_fence, q_validate, q_quarantine, q_entity_surface,
+    q_span_text, q_span_markdown, q_span_pages, q_span_hash, q_token_estimate, q_source_id, q_buffers, q_small_buffers, q_ledger_filter, q_ledger_merge, q_ingest_stats, q_strip_fence, q_validate, q_quarantine, q_entity_surface,
     q_triple_resolve, q_prop_insert, q_entity_upsert, q_base_weight, q_rel_weight, q_rel_axis, q_rel_support, q_rel_upsert, q_prop_edges, q_export_finetune, q_word_count, q_dimension_guard,
 )
 
@@ -204,7 +214,7 @@ tr AS MATERIALIZED (SELECT unit_id, doc_id, section_path, source_id, received_at
   FROM (SELECT *, p.triples[j] t FROM (SELECT *, unnest(range(1, len(p.triples) + 1)) j FROM pid)) WHERE t IS NOT NULL),
 asr AS MATERIALIZED (SELECT lower(subject) src, lower(obj) dst, predicate, axis, confidence, pid, source_id, coalesce(received_at, TIMESTAMP '1970-01-01') ats, unit_id, prop_no, triple_no, least(1.0::DOUBLE, 0.5::DOUBLE + 0.5::DOUBLE * confidence) b
   FROM tr WHERE subject IS NOT NULL AND obj IS NOT NULL AND predicate IS NOT NULL AND confidence BETWEEN 0 AND 1 AND axis IN ('causal', 'taxonomic', 'temporal', 'definitional', 'exemplification'))"""
-_SURF = _TRI + """, surf AS MATERIALIZED (SELECT unit_id, surface, min(pos) first_pos FROM (SELECT unit_id, subject surface, prop_no * 2000000 + triple_no * 2 pos FROM tr UNION ALL SELECT unit_id, obj, prop_no * 2000000 + triple_no * 2 + 1 FROM tr) WHERE surface IS NOT NULL GROUP BY 1, 2)"""
+_SURF = _TRI + """, surf AS MATERIALIZED (SELECT unit_id, surface, min(pos) first_pos FROM (SELECT unit_id, subject surface, struct_pack(p := prop_no, t := triple_no, k := 0) pos FROM tr UNION ALL SELECT unit_id, obj, struct_pack(p := prop_no, t := triple_no, k := 1) FROM tr) WHERE surface IS NOT NULL GROUP BY 1, 2)"""
 
 
 def _fold(key: str) -> str:
@@ -218,13 +228,16 @@ sup AS MATERIALIZED (SELECT {key}, count(*) cn, string_agg(pid, ',' ORDER BY f)
 
 
 def oracle_sql() -> dict[str, str]:
-    pack = f"""WITH RECURSIVE {_SPAN}, s AS MATERIALIZED (SELECT doc_id, coalesce(section_path, '') section_path, length("text") n, greatest(1, length("text") // 4) t, row_number() OVER (PARTITION BY doc_id, coalesce(section_path, '') ORDER BY span_id) i FROM sp1 WHERE "text" IS NOT NULL AND "text" <> ''),
+    def pack(most: int, overlap: int) -> str:
+        tail, over = 4 * overlap, f"f.tok + s.t > {most}"
+        return f"""WITH RECURSIVE {_SPAN}, s AS MATERIALIZED (SELECT doc_id, coalesce(section_path, '') section_path, length("text") n, greatest(1, length("text") // 4) t, row_number() OVER (PARTITION BY doc_id, coalesce(section_path, '') ORDER BY span_id) i FROM sp1 WHERE "text" IS NOT NULL AND "text" <> ''),
       f AS (SELECT doc_id, section_path, i, 1 b, t tok, n len, 1 c FROM s WHERE i = 1
-        UNION ALL SELECT s.doc_id, s.section_path, s.i, CASE WHEN f.tok + s.t > 60 THEN f.b + 1 ELSE f.b END,
-          CASE WHEN f.tok + s.t > 60 THEN greatest(1, least(40, f.len) // 4) + s.t ELSE f.tok + s.t END,
-          CASE WHEN f.tok + s.t > 60 THEN least(40, f.len) + 2 + s.n ELSE f.len + 2 + s.n END, CASE WHEN f.tok + s.t > 60 THEN 2 ELSE f.c + 1 END
+        UNION ALL SELECT s.doc_id, s.section_path, s.i, CASE WHEN {over} THEN f.b + 1 ELSE f.b END,
+          CASE WHEN {over} THEN greatest(1, least({tail}, f.len) // 4) + s.t ELSE f.tok + s.t END,
+          CASE WHEN {over} THEN least({tail}, f.len) + 2 + s.n ELSE f.len + 2 + s.n END, CASE WHEN {over} THEN 2 ELSE f.c + 1 END
         FROM f JOIN s ON s.doc_id = f.doc_id AND s.section_path = f.section_path AND s.i = f.i + 1)
       SELECT doc_id, section_path, CAST(b AS INT) buffer_no, CAST(max(c) AS INT) n_spans, CAST(max(len) AS INT) n_chars FROM f GROUP BY 1, 2, 3"""
+
     edges = """sup AS MATERIALIZED (SELECT DISTINCT pid, src, dst, predicate, axis, id eid FROM (SELECT id, src, dst, predicate, axis, unnest(support) pid FROM edge)),
     by_ AS MATERIALIZED (SELECT pid, count(*) n, arg_min(predicate, struct_pack(src := src, dst := dst, p := predicate, e := eid)) FILTER (WHERE predicate <> '') said, string_agg(DISTINCT axis, ',' ORDER BY axis) FILTER (WHERE axis <> '') axes, string_agg(DISTINCT predicate, '|' ORDER BY predicate) FILTER (WHERE predicate <> '') predicates FROM sup GROUP BY 1)"""
     return {
@@ -233,12 +246,13 @@ def oracle_sql() -> dict[str, str]:
         "q_span_hash": f"""WITH {_SPAN} SELECT span_id, h hash_made, h = lower(hash) as_stored FROM (SELECT *, sha256(coalesce(doc_id, '') || chr(0) || coalesce(section_path, '') || chr(0) || coalesce("text", '')) h FROM sp1)""",
         "q_token_estimate": f"""WITH {_SPAN} SELECT span_id, CAST(CASE WHEN coalesce(length("text"), 0) = 0 THEN 0 ELSE greatest(1, length("text") // 4) END AS INT) tokens FROM sp1""",
         "q_source_id": "SELECT arg, CASE WHEN arg LIKE 'src\\_%' ESCAPE '\\' THEN arg ELSE 'src_' || substr(sha256(arg), 1, 32) END source_id FROM (SELECT DISTINCT arg FROM (SELECT regexp_extract(doc_path, '^(.*)/', 1) arg FROM documents UNION ALL SELECT source_id FROM entity) WHERE arg IS NOT NULL)",
-        "q_buffers": pack,
+        "q_buffers": pack(CFG.ingest.span_max_tokens, CFG.ingest.overlap_tokens),
+        "q_small_buffers": pack(250, 25),
         "q_ledger_filter": f"WITH {_LEDGER} SELECT buffer_id, batch_no FROM todo",
         "q_ledger_merge": f"WITH {_SPAN} SELECT DISTINCT lower(hash) span_hash FROM sp1 WHERE hash IS NOT NULL",
         "q_ingest_stats": f"WITH {_LEDGER}, {_SURF} SELECT (SELECT count(*) FROM buf) buffers, (SELECT count(*) FROM buf) - (SELECT count(*) FROM todo) skipped, (SELECT count(DISTINCT (unit_id, prop_no)) FROM tr) propositions, (SELECT count(*) FROM tr) rels, (SELECT count(*) FROM surf) entities",
         "q_strip_fence": """SELECT unit_id, CAST(length(s) AS INT) n_chars, md5(s) digest FROM (SELECT unit_id, CASE WHEN t LIKE '```%' THEN regexp_replace(regexp_replace(t, '^```[^\\n]*\\n', ''), '\\s*```\\s*$', '') ELSE t END s FROM (SELECT unit_id, trim(any_value(payload), chr(32) || chr(9) || chr(13) || chr(10)) t FROM raw_unit GROUP BY 1))""",
-        "q_entity_surface": f"WITH {_SURF} SELECT unit_id, surface, first_pos FROM surf",
+        "q_entity_surface": f"WITH {_SURF} SELECT unit_id, surface, CAST(first_pos.p AS INT) prop_no, CAST(first_pos.t AS INT) triple_no, first_pos.k side FROM surf",
         "q_triple_resolve": with_chain("ent", "SELECT 1").replace("\nSELECT 1", f""", {_TRI}, nm AS MATERIALIZED (SELECT lower(name) k, min(id) id FROM ent WHERE name IS NOT NULL GROUP BY 1)
       SELECT t.unit_id, CAST(t.prop_no AS INT) prop_no, CAST(t.triple_no AS INT) triple_no, a.id src_id, b.id dst_id FROM tr t LEFT JOIN nm a ON a.k = lower(t.subject) LEFT JOIN nm b ON b.k = lower(t.obj)"""),
         "q_prop_insert": f"WITH {_TRI} SELECT unit_id, CAST(prop_no AS INT) prop_no, pid FROM pid",

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from strandweave.operators.nested import shred
 from strandweave.operators.orphans import Parent, Reference, orphan_counts, orphans
 from strandweave.operators.units import all_units
+from strandweave.session import materialise
 from strandweave.sources.tables import ref_id, table
 
 UNIT_TABLE, PROPOSITION_TABLE, TRIPLE_TABLE = "unit", "unit__propositions", "unit__propositions__triples"
 
 
 def unit_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return shred(all_units(table(spark, d, "ingest_unit"), table(spark, d, "raw_unit")), "unit_id", "unit")
+    """Payloads are parsed once; the tables are cut from what that gave."""
+    return shred(materialise(all_units(table(spark, d, "ingest_unit"), table(spark, d, "raw_unit")), "units"), "unit_id", "unit")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,10 +81,6 @@ bad AS (
   FROM refs r LEFT JOIN parent p ON p.pt = r.pt AND p.k = r.k
   WHERE r.k IS NOT NULL AND (p.k IS NULL OR p.dead = 1 OR p.born > r.rt) GROUP BY 1, 2, 3, 4)
 """
-_P3_SQL = """
-WITH u AS (SELECT unit_id, any_value(propositions) ps FROM ingest_unit WHERE unit_id IS NOT NULL GROUP BY 1),
-"""
-
 
 def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_units, p3_propositions, p3_triples, p4_found, p4_counts)}

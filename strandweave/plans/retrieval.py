@@ -2,24 +2,86 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.axes import AXES, AXIS_TEXTS, NO_INFO
 from strandweave.config import Config
 from strandweave.operators import answer, graph, retrieve, vectors
+from strandweave.operators.buckets import bucket_top_k
+from strandweave.session import materialise, shared_dir
 from strandweave.sources.tables import ref_id, table
 
 CFG = Config()
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "eval_item").select(F.col("item_id").alias("qid"), "question").dropDuplicates(["qid"])
-    return vectors.embed(q, "question", "qvec", CFG.embedding.dim, CFG.embedding.provider)
+class Retrieval:
+    """One batch of questions over one set of tables. What several steps need is computed once, written to the shared folder and read from there:
+    the embedded questions, the seeds, the subgraph and the amplitudes, all bounded by the number of questions. Each table is scanned once for it."""
+
+    def __init__(self, spark: SparkSession, d: str, asked: DataFrame | None = None, source_id: str | None = None):
+        self.spark, self.d, self.asked, self.source_id = spark, d, asked, source_id
+
+    def table(self, name: str) -> DataFrame:
+        t = table(self.spark, self.d, name)
+        return t if self.source_id is None else t.where(F.col("source_id") == self.source_id)
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        q = self.asked
+        if q is None:
+            q = table(self.spark, self.d, "eval_item").select(F.col("item_id").alias("qid"), "question").dropDuplicates(["qid"])
+        return materialise(vectors.embed(q, "question", "qvec", CFG.embedding.dim, CFG.embedding.provider), "questions")
+
+    @property
+    def edges(self) -> DataFrame:
+        return graph.edge_rows(self.table("rel"))
+
+    @property
+    def propositions(self) -> DataFrame:
+        return graph.living(self.table("proposition"))
+
+    @cached_property
+    def seed_entities(self) -> DataFrame:
+        return materialise(vectors.top_k(self.questions, graph.living(self.table("entity")), CFG.retrieve.seed_k_entities), "seed-entities")
+
+    @cached_property
+    def seed_props(self) -> DataFrame:
+        return materialise(vectors.top_k(self.questions, self.propositions, CFG.retrieve.seed_k_propositions), "seed-props").withColumn("sim", 1 - F.col("distance"))
+
+    @cached_property
+    def subgraph(self) -> DataFrame:
+        return materialise(graph.hops(self.seed_entities, self.edges, CFG.retrieve.hops, CFG.retrieve.max_subgraph_edges), "subgraph")
+
+    @cached_property
+    def amplitudes(self) -> DataFrame:
+        return materialise(retrieve.amplitudes(self.questions, vectors.axis_vectors(self.spark), CFG.reweight.alpha, CFG.reweight.beta), "amplitudes")
 
+    @property
+    def weighted(self) -> DataFrame:
+        return retrieve.reweight(self.subgraph, retrieve.settle_degenerate(self.amplitudes))
 
-def property_graph(spark: SparkSession, d: str) -> graph.PropertyGraph:
-    return graph.PropertyGraph(graph.live(table(spark, d, "entity")), graph.edges(table(spark, d, "rel")))
+    @property
+    def activations(self) -> DataFrame:
+        return retrieve.personalized_pagerank(self.weighted, self.seed_entities, CFG.rank.damping, CFG.rank.iterations)
+
+    @property
+    def ranked(self) -> DataFrame:
+        return retrieve.assemble(self.subgraph, self.activations, self.seed_props, CFG.rank.top_m)
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return materialise(retrieve.picked(self.ranked, self.seed_props, CFG.rank.top_m), "chosen")
+
+    @cached_property
+    def fetched(self) -> DataFrame:
+        return materialise(retrieve.fetch(self.chosen, self.propositions), "fetched")
+
+    def nearest(self, k: int) -> DataFrame:
+        """The baseline without graph: the k nearest propositions with their texts."""
+        return retrieve.fetch(self.seed_props.where(F.col("rank") <= k).select("qid", F.col("id").alias("pid"), "rank"), self.propositions)
 
 
 def propositions(spark: SparkSession, d: str) -> DataFrame:
@@ -44,30 +106,23 @@ def q_l2_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_embed(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d).select("qid", F.posexplode("qvec").alias("dim", "value")).where("value <> 0").select("qid", "dim", F.col("value").cast("double").alias("value"))
-
-
-def seed_entities(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.top_k(questions(spark, d).select("qid", "qvec"), graph.live(table(spark, d, "entity")), CFG.retrieve.seed_k_entities)
-
-
-def seed_props(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    return vectors.top_k(questions(spark, d).select("qid", "qvec"), propositions(spark, d), k or CFG.retrieve.seed_k_propositions).withColumn("sim", 1 - F.col("distance"))
+    return Retrieval(spark, d).questions.select("qid", F.posexplode("qvec").alias("dim", "value")).where("value <> 0").select("qid", "dim", F.col("value").cast("double").alias("value"))
 
 
 def q_seed_entities(spark: SparkSession, d: str) -> DataFrame:
-    return seed_entities(spark, d).select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
+    return Retrieval(spark, d).seed_entities.select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def q_seed_props(spark: SparkSession, d: str) -> DataFrame:
-    return seed_props(spark, d).select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
+    return Retrieval(spark, d).seed_props.select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
 # ---------------------------------------------------------------- graph
 
 
 def q_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bound_edges(property_graph(spark, d)).select("id", "src_name", "predicate", "dst_name")
+    g = graph.PropertyGraph(graph.live(table(spark, d, "entity")), graph.edges(table(spark, d, "rel")))
+    return graph.bound_edges(g).select("id", "src_name", "predicate", "dst_name")
 
 
 def q_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -76,37 +131,32 @@ def q_mentions(spark: SparkSession, d: str) -> DataFrame:
     return m.where("pid IS NOT NULL").groupBy("pid", "eid", "role").agg(F.max("confidence").alias("confidence"))
 
 
-def subgraph(spark: SparkSession, d: str, n_hops: int = 1) -> DataFrame:
-    return graph.hops(seed_entities(spark, d), property_graph(spark, d).edges, n_hops, CFG.retrieve.max_subgraph_edges)
-
-
 def q_one_hop(spark: SparkSession, d: str) -> DataFrame:
-    return subgraph(spark, d).select("qid", "id", "edge_no")
+    return Retrieval(spark, d).subgraph.select("qid", "id", "edge_no")
 
 
 def q_two_hops(spark: SparkSession, d: str) -> DataFrame:
-    return subgraph(spark, d, 2).select("qid", "id", "edge_no")
+    r = Retrieval(spark, d)
+    return graph.hops(r.seed_entities, r.edges, 2, CFG.retrieve.max_subgraph_edges).select("qid", "id", "edge_no")
 
 
 def q_source_scope(spark: SparkSession, d: str) -> DataFrame:
     """The one-hop edges of questions that ask all sources together, counted by source; the q_scoped queries ask each source alone."""
-    return subgraph(spark, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("qid").alias("n_questions"))
-
-
-def scoped_subgraph(spark: SparkSession, d: str, n_hops: int = 1) -> DataFrame:
-    """Each question asks each source alone: seeds and edges of that source only, both cut per (question, source)."""
-    seeds = vectors.top_k(questions(spark, d).select("qid", "qvec"), graph.live(table(spark, d, "entity")), CFG.retrieve.seed_k_entities, scope="source_id")
-    return graph.hops(seeds, property_graph(spark, d).edges, n_hops, CFG.retrieve.max_subgraph_edges, scoped=True)
+    return Retrieval(spark, d).subgraph.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("qid").alias("n_questions"))
 
 
 def q_scoped_hop(spark: SparkSession, d: str) -> DataFrame:
-    return scoped_subgraph(spark, d).select("qid", "source_id", "id", "edge_no")
+    """Each question asks each source alone: seeds and edges of that source only, both cut per (question, source)."""
+    r = Retrieval(spark, d)
+    seeds = materialise(vectors.top_k(r.questions, graph.living(table(spark, d, "entity")), CFG.retrieve.seed_k_entities, scope="source_id"), "scoped-seeds")
+    return graph.hops(seeds, r.edges, CFG.retrieve.hops, CFG.retrieve.max_subgraph_edges, scoped=True).select("qid", "source_id", "id", "edge_no")
 
 
 def q_scoped_props(spark: SparkSession, d: str) -> DataFrame:
     """The propositions nearest to each question within each source, with their texts."""
-    near = vectors.top_k(questions(spark, d).select("qid", "qvec"), propositions(spark, d), CFG.retrieve.seed_k_propositions, scope="source_id")
-    got = retrieve.fetch(near.withColumnRenamed("id", "pid"), propositions(spark, d), scoped=True)
+    r = Retrieval(spark, d)
+    near = vectors.top_k(r.questions, r.propositions, CFG.retrieve.seed_k_propositions, scope="source_id")
+    got = retrieve.fetch(near.withColumnRenamed("id", "pid"), r.propositions, scoped=True)
     return got.select("qid", "source_id", "pid", F.round(1 - F.col("distance"), 6).alias("sim"), "rank", "text")
 
 
@@ -115,112 +165,90 @@ def q_sources(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("source_id IS NOT NULL").distinct().orderBy("source_id")
 
 
-def amps(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.amplitudes(questions(spark, d), vectors.axis_vectors(spark), CFG.reweight.alpha, CFG.reweight.beta)
-
-
 def q_amplitude(spark: SparkSession, d: str) -> DataFrame:
-    return amps(spark, d).select("qid", "axis", F.round("amplitude", 6).alias("amplitude"))
+    return Retrieval(spark, d).amplitudes.select("qid", "axis", F.round("amplitude", 6).alias("amplitude"))
 
 
 def q_amp_degenerate(spark: SparkSession, d: str) -> DataFrame:
     """The fallback on questions of either kind: as they are, and with a steep sigmoid that saturates."""
-    q = questions(spark, d)
+    q = Retrieval(spark, d).questions
     out = [retrieve.settle_degenerate(retrieve.amplitudes(q, vectors.axis_vectors(spark), 8.0, b)).select("qid", "axis", F.lit(b).alias("beta"), F.round("amplitude", 6).alias("amplitude")) for b in (0.0, 9.0, -9.0)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def q_amp_pivot(spark: SparkSession, d: str) -> DataFrame:
-    p = retrieve.settle_degenerate(amps(spark, d)).groupBy("qid").pivot("axis", list(AXES)).agg(F.max("amplitude"))
+    p = retrieve.settle_degenerate(Retrieval(spark, d).amplitudes).groupBy("qid").pivot("axis", list(AXES)).agg(F.max("amplitude"))
     return p.select("qid", *[F.round(F.coalesce(a, F.lit(0.0)), 6).alias(a) for a in AXES])
 
 
-def weighted(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.reweight(subgraph(spark, d), retrieve.settle_degenerate(amps(spark, d)))
-
-
 def q_reweight(spark: SparkSession, d: str) -> DataFrame:
-    return weighted(spark, d).select("qid", "id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
-
-
-def activations(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.personalized_pagerank(weighted(spark, d), seed_entities(spark, d), CFG.rank.damping, CFG.rank.iterations)
+    return Retrieval(spark, d).weighted.select("qid", "id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
 
 
 def q_ppr(spark: SparkSession, d: str) -> DataFrame:
-    return activations(spark, d).select("qid", "node", F.round("activation", 6).alias("activation"))
+    return Retrieval(spark, d).activations.select("qid", "node", F.round("activation", 6).alias("activation"))
 
 
 def q_ppr_noedge(spark: SparkSession, d: str) -> DataFrame:
-    none = weighted(spark, d).where(F.lit(False))
-    return retrieve.personalized_pagerank(none, seed_entities(spark, d)).select("qid", "node", F.round("activation", 6).alias("activation"))
+    r = Retrieval(spark, d)
+    none = r.weighted.where(F.lit(False))
+    return retrieve.personalized_pagerank(none, r.seed_entities).select("qid", "node", F.round("activation", 6).alias("activation"))
 
 
 def q_viz_nodes(spark: SparkSession, d: str) -> DataFrame:
     """What a drawing of each question's subgraph needs: node sizes, and the label."""
-    a = activations(spark, d)
+    a = Retrieval(spark, d).activations
     return a.select("qid", "node", F.left("node", F.lit(8)).alias("label"), F.round(F.greatest("activation", F.lit(0.01)) * 100, 4).alias("size"))
 
 
 def q_viz_edges(spark: SparkSession, d: str) -> DataFrame:
-    return weighted(spark, d).select("qid", "id", F.coalesce("axis", F.lit("")).alias("label"), F.round(F.greatest("weight", F.lit(0.01)) * 10 + 1e-9, 6).alias("width"))
-
-
-def ranked(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.assemble(subgraph(spark, d), activations(spark, d), seed_props(spark, d), CFG.rank.top_m)
+    return Retrieval(spark, d).weighted.select("qid", "id", F.coalesce("axis", F.lit("")).alias("label"), F.round(F.greatest("weight", F.lit(0.01)) * 10 + 1e-9, 6).alias("width"))
 
 
 def q_assemble(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(spark, d).select("qid", "pid", F.round("score", 6).alias("score"))
-
-
-def chosen(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.picked(ranked(spark, d), seed_props(spark, d), CFG.rank.top_m)
+    return Retrieval(spark, d).ranked.select("qid", "pid", F.round("score", 6).alias("score"))
 
 
 def q_picked(spark: SparkSession, d: str) -> DataFrame:
-    return chosen(spark, d)
-
-
-def fetched(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.fetch(chosen(spark, d), propositions(spark, d))
+    return Retrieval(spark, d).chosen
 
 
 def q_fetch_props(spark: SparkSession, d: str) -> DataFrame:
-    return fetched(spark, d).select("qid", "rank", "pid", "text", "source_doc", F.coalesce("source_span", F.lit("")).alias("source_span"))
+    return Retrieval(spark, d).fetched.select("qid", "rank", "pid", "text", "source_doc", F.coalesce("source_span", F.lit("")).alias("source_span"))
 
 
 def q_budget(spark: SparkSession, d: str) -> DataFrame:
     """The evidence that fits a budget of 300 tokens."""
-    return answer.within_budget(fetched(spark, d), questions(spark, d), 300).select("qid", "rank", "pid", "cost")
+    r = Retrieval(spark, d)
+    return answer.within_budget(r.fetched, r.questions, 300).select("qid", "rank", "pid", "cost")
+
+
+def prompts(r: Retrieval) -> DataFrame:
+    return answer.answer_prompts(answer.within_budget(r.fetched, r.questions, CFG.answer.budget_tokens), r.questions)
 
 
 def q_answer_prompt(spark: SparkSession, d: str) -> DataFrame:
-    return answer.answer_prompts(answer.within_budget(fetched(spark, d), questions(spark, d), CFG.answer.budget_tokens), questions(spark, d))
+    return prompts(Retrieval(spark, d))
 
 
 def q_naive_citations(spark: SparkSession, d: str) -> DataFrame:
     """The baseline without graph: the ten nearest propositions, all of them cited."""
-    t = seed_props(spark, d, 10).select("qid", F.col("id").alias("pid"), "rank")
-    return retrieve.fetch(t, propositions(spark, d)).select("qid", F.concat(F.coalesce("source_doc", F.lit("")), F.lit("#"), F.coalesce("source_span", F.lit(""))).alias("citation")).distinct()
+    return Retrieval(spark, d).nearest(10).select("qid", F.concat(F.coalesce("source_doc", F.lit("")), F.lit("#"), F.coalesce("source_span", F.lit(""))).alias("citation")).distinct()
 
 
 def q_graph_pagerank(spark: SparkSession, d: str) -> DataFrame:
     """PageRank over the whole graph, restarted at all entities that some question's seeds name."""
-    from strandweave.session import shared_dir
-
     shared_dir(spark)
-    e = property_graph(spark, d).edges.select("src", "dst", F.col("base_weight").alias("weight")).where("weight > 0")
-    p = retrieve.graph_pagerank(e, seed_entities(spark, d).select("id").distinct())
+    e = graph.edges(table(spark, d, "rel")).select("src", "dst", F.col("base_weight").alias("weight")).where("weight > 0")
+    p = retrieve.graph_pagerank(e, Retrieval(spark, d).seed_entities.select("id").distinct())
     return p.select("id", F.round("p", 6).alias("p"))
 
 
 def q_ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Hyperplane buckets against the exact top-k of entities: recall per question."""
-    from strandweave.operators.buckets import bucket_top_k
-
-    exact = seed_entities(spark, d).select("qid", "id")
-    near = bucket_top_k(questions(spark, d).select("qid", "qvec"), graph.live(table(spark, d, "entity")), CFG.retrieve.seed_k_entities).select("qid", "id", F.lit(1).alias("hit"))
+    r = Retrieval(spark, d)
+    exact = r.seed_entities.select("qid", "id")
+    near = bucket_top_k(r.questions, graph.live(table(spark, d, "entity")), CFG.retrieve.seed_k_entities).select("qid", "id", F.lit(1).alias("hit"))
     return exact.join(near, ["qid", "id"], "left").groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 

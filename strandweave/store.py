@@ -93,23 +93,6 @@ class Store:
         self.commit(
             entity=entity,
             proposition=old.unionByName(props.join(old, "id", "left_anti")),
-            rel=merge_edges(self.read("rel"), new_rel),
+            rel=graph.merge_edges(self.read("rel"), new_rel, ["src", "dst", "predicate"]),
             ledger=led.unionByName(more.select("span_hash", "doc_id", "section_path")),
         )
-
-
-def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing edges with newly folded ones: w * 2^-n + fold, votes added, support appended; the latest source stays."""
-    keys = ["src", "dst", "predicate"]
-    o = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("n_assertions", "source_id", "base_weight", "axis", "axis_counts", "support")])
-    b = o.join(new.select(*keys, "n_assertions", "source_id", "base_weight", "axis", "axis_counts", "support", "first_b"), keys, "full")
-    n = F.coalesce("n_assertions", F.lit(0))
-    added = graph.merge_weight(F.col("o_base_weight"), F.col("base_weight"), n, F.col("first_b"))
-    weight = F.when(F.col("o_n_assertions").isNull(), F.col("base_weight")).when(n == 0, F.col("o_base_weight")).otherwise(added)
-    counts = F.map_zip_with(F.coalesce("o_axis_counts", F.create_map().cast("map<string,int>")), F.coalesce("axis_counts", F.create_map().cast("map<string,int>")), lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
-    none = F.array().cast("array<string>")
-    support = F.reverse(F.slice(F.reverse(F.array_distinct(F.concat(F.coalesce("o_support", none), F.coalesce("support", none)))), 1, graph.KEPT_SUPPORT))
-    out = b.select(*keys, (F.coalesce("o_n_assertions", F.lit(0)) + n).cast("long").alias("n_assertions"), F.coalesce("source_id", "o_source_id").alias("source_id"), weight.alias("base_weight"), F.coalesce("axis", "o_axis").alias("cur"), counts.alias("axis_counts"), support.alias("support"))
-    top = F.array_max(F.map_values("axis_counts"))
-    lead = F.get(F.map_keys(F.map_filter("axis_counts", lambda k, v: v == top)), F.lit(0))
-    return out.withColumn("axis", F.when(F.element_at("axis_counts", F.col("cur")) == top, F.col("cur")).otherwise(lead)).select(*keys, "n_assertions", "source_id", "base_weight", "axis", "axis_counts", "support")

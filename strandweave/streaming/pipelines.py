@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.operators import graph
 from strandweave.session import scratch_path
 
 
@@ -23,47 +25,56 @@ def as_files(df: DataFrame, n: int) -> str:
     return path
 
 
-def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str) -> None:
-    """Works off what is there; the checkpoint makes a restarted run go on where it was."""
-    spark = stream.sparkSession
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], offsets: str) -> None:
+    """Works off what is there; a run that is started again with the same `offsets` goes on behind the last batch that was complete."""
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", offsets).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def ingest_stream(spark: SparkSession, spans: DataFrame, max_files: int = 2, files: int = 4) -> DataFrame:
-    """Spans arrive in micro-batches; only hashes that the ledger lacks are ingested. A batch's output lies in a folder named by its number, so a batch
-    that runs twice writes once."""
-    out = scratch_path(spark, "ledger")
-    source = as_files(spans, files)
-    schema = "span_hash string, doc_id string, section_path string, batch_id long"
-    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+LEDGER = "span_hash string, doc_id string, section_path string"
+
+
+def ingest_stream(spark: SparkSession, source: str, out: str, max_files: int = 2) -> DataFrame:
+    """The spans in files below `source` arrive in micro-batches; only hashes that the ledger below `out` lacks are written to it. A batch's rows lie in a folder
+    named by its number, so a batch that runs twice writes once. A restart on the same paths takes what has come since; of the ledger a batch reads
+    the folders of the 256 hash prefixes that its own hashes have."""
+    prefix = F.conv(F.substring("span_hash", 1, 2), 16, 10).cast("int")
+
+    def ledger(session: SparkSession) -> DataFrame:
+        try:
+            return session.read.schema(f"{LEDGER}, batch int, part int").parquet(out + "/ledger")
+        except AnalysisException:
+            return session.createDataFrame([], f"{LEDGER}, batch int, part int")
 
     def sink(batch: DataFrame, n: int) -> None:
-        done = batch.sparkSession.read.schema(schema).parquet(f"{out}/batch=*").where(F.col("batch_id") != n)
-        new = batch.where("span_hash IS NOT NULL").dropDuplicates(["span_hash"]).join(done.select("span_hash"), "span_hash", "left_anti")
-        new.select("span_hash", "doc_id", "section_path", F.lit(n).cast("long").alias("batch_id")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        fresh = batch.where("span_hash IS NOT NULL").dropDuplicates(["span_hash"]).withColumn("part", F.coalesce(prefix, F.lit(-1)))
+        hit = [r[0] for r in fresh.select("part").distinct().collect()]  # at most 257
+        done = ledger(batch.sparkSession).where((F.col("batch") != n) & F.col("part").isin(hit)).select("span_hash")
+        fresh.join(done, "span_hash", "left_anti").repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/ledger/batch={n}")
 
-    run_to_end(file_stream(spark, source, max_files), sink, "ingest")
-    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+    run_to_end(file_stream(spark, source, max_files), sink, out + "/offsets")
+    return ledger(spark)
 
 
-def edge_state_stream(spark: SparkSession, assertions: DataFrame, keys: list[str], files: int = 4) -> DataFrame:
-    """Running votes per edge key: each micro-batch is aggregated and added to the state; version n is made from version n - 1,
-    so a batch that runs twice gives the same state."""
-    out = scratch_path(spark, "edges")
-    source = as_files(assertions, files)
-    grouped = lambda d: d.groupBy(*keys, "axis").agg(F.sum("votes").alias("votes"), F.max("last_seen").alias("last_seen"))
-    grouped(assertions.where(F.lit(False)).select(*keys, "axis", F.lit(1).cast("long").alias("votes"), F.col("at").alias("last_seen"))).write.parquet(f"{out}/v=-1")
-    last = {"n": -1}
+def edge_state_stream(spark: SparkSession, source: str, out: str, keys: list[str], seq: list[str], max_files: int = 1000) -> DataFrame:
+    """Running state per edge key: weight fold, votes, support and count. What comes later must follow in the order of `seq`; files that
+    are there together go into one micro-batch of up to `max_files`. Each micro-batch is folded on its own and merged
+    into the state; version n is made from version n - 1, so a batch that runs twice gives the same state, and a restart goes on from the last."""
+    try:
+        versions = [r[0] for r in spark.read.parquet(f"{out}/state").select("v").distinct().collect()]
+    except AnalysisException:
+        versions = []
+    last = {"n": max(versions, default=-1)}
 
     def sink(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{out}/v={n - 1}")
-        new = batch.select(*keys, "axis", F.lit(1).cast("long").alias("votes"), F.col("at").alias("last_seen"))
-        grouped(old.unionByName(grouped(new))).write.mode("overwrite").parquet(f"{out}/v={n}")
+        new = graph.upsert_edges(batch, keys, seq)
+        if n:
+            new = graph.merge_edges(batch.sparkSession.read.parquet(f"{out}/state/v={n - 1}"), new, keys)
+        new.select(*keys, *graph.EDGE_STATE).write.mode("overwrite").parquet(f"{out}/state/v={n}")
         last["n"] = n
 
-    run_to_end(file_stream(spark, source, 1), sink, "edges")
-    return spark.read.parquet(f"{out}/v={last['n']}")
+    run_to_end(file_stream(spark, source, max_files), sink, out + "/offsets")
+    return spark.read.parquet(f"{out}/state/v={last['n']}")
 
 
 def windowed(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> DataFrame:

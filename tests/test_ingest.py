@@ -118,7 +118,7 @@ def test_budget_and_prompts(spark):
 
 def test_citations(spark):
     a = spark.createDataFrame([("q", "yes [P1, P2; P3] and [P9] or [P1]", 3), ("n", "none", 3), ("z", None, 3)], "qid string, answer string, n_propositions int")
-    assert [r.cited for r in answer.citations(a).orderBy("pos").collect()] == [1, 2, 3, 1]
+    assert [r.cited for r in answer.citations(a).orderBy("mark_no", "part_no").collect()] == [1, 2, 3, 1]
 
 
 def test_metrics(spark):

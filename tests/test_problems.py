@@ -39,12 +39,13 @@ def test_payload_wrappings(spark):
     cases = {
         "plain": j, "fence": f"```json\n{j}\n```", "quoted": json.dumps(j), "outer": json.dumps({"data": u}), "both": json.dumps(f"```\n{json.dumps({'unit': u})}\n```"),
         "single": json.dumps({"propositions": {"text": "t", "triples": {"subject": "s"}}}), "cut": j[:-3], "list": "[]", "null": "null", "empty": "", "behind": j + " x", "none": None,
+        "deep": json.dumps(json.dumps(f"```\n{json.dumps('```json' + chr(10) + j + chr(10) + '```')}\n```")), "nested": json.dumps({"a": {"b": {"c": u}}}),
         "scalar": json.dumps({"propositions": "x", "more": 1}), "odd": json.dumps({"propositions": ["text", 3], "doc_id": 5}), "bare": "{}",
     }
     d = spark.createDataFrame([(k, v) for k, v in cases.items()], "unit_id string, payload string").withColumns({"source_id": F.lit("s"), "received_at": F.current_timestamp()})
     got = {r.unit_id: r.propositions for r in units_from_payloads(d).collect()}
-    assert set(got) == {"plain", "fence", "quoted", "outer", "both", "single", "scalar", "odd", "bare"}
-    for k in ("plain", "fence", "quoted", "outer", "both"):
+    assert set(got) == {"plain", "fence", "quoted", "outer", "both", "deep", "nested", "single", "scalar", "odd", "bare"}
+    for k in ("plain", "fence", "quoted", "outer", "both", "deep", "nested"):
         assert got[k][0] is None and got[k][1].triples[0] is None and got[k][1].triples[1].subject == "s" and got[k][1].triples[1].confidence == 0.5 and got[k][2].triples is None
     assert got["single"][0].triples[0].subject == "s" and got["scalar"] is None and got["bare"] is None
     assert got["odd"][0].text == "text" and got["odd"][1].triples is None
