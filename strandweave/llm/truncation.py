@@ -54,9 +54,11 @@ FEATURES = "doc_id {kind}, source string, n_chars long, n_bytes long, reason str
 
 
 def open_elements(text: str) -> list[str]:
-    """What is open at the end of text, outermost first. Inline elements end with their paragraph, fences with a fence, markup elements with their tag."""
+    """What is open at the end of text, outermost first. Inline elements end with their paragraph, fences with a fence, markup elements with their tag.
+    A bracket that the last paragraph but one leaves open counts too: what follows was added behind a cut."""
     outer: list[str] = []  # markup elements, across paragraphs
     stack: list[str] = []  # what ends with the paragraph
+    torn: list[str] = []  # brackets that the paragraph before left open
     fence = ""
     for m in _TOKEN.finditer(text):
         kind, t = m.lastgroup, m.group()
@@ -66,7 +68,7 @@ def open_elements(text: str) -> list[str]:
         elif kind == "fence":
             fence, stack = m["fence"], []
         elif kind == "gap":
-            stack = []
+            torn, stack = [t for t in stack if t in _CLOSES.values()], []
         elif stack and stack[-1][0] == "`":
             if t == stack[-1]:
                 stack.pop()
@@ -92,7 +94,7 @@ def open_elements(text: str) -> list[str]:
                     pass
         else:
             stack.append(t)
-    return [fence] if fence else [f"<{e}>" for e in outer] + stack
+    return [fence] if fence else [f"<{e}>" for e in outer] + (stack or torn)
 
 
 def open_sequence(body: str) -> str | None:

@@ -147,6 +147,8 @@ def test_token_counts_are_those_of_the_tokenizer(spark):
         ("A full sentence.", False), ("Is it?  ", False), ("", False), ("He said “so.”", False), ("# Head\n\n- one\n- two.", False), ("text\n\n| a | b |\n| 1 | 2 |", False), ("```\ncode\n```", False), ("See [x](y.md)", True),
         ("The cut comes in the mid", True), ("Text. And then [...]", True), ("Text that sto…", True), ("text\n\n```sql\nselect 1", True), ("a (b c", True), ("| a | b |\n| 1 |", True), ("| a | b |\n| 1 | 2", True), ("x�", True), ("CALL a\\", True),
         ("See also: [Name](../a", True), ("an <a href='x", True), ("ends, said “I", True),
+        ('He said "this is fine.', True), ("He said 'abc.", True), ("A **bold claim.", True), ("Use `code.", True), ("<div>Text is here.", True), ("Open (a\n\nNext.", True), ("Fine &am", True), ("see %E2%8", True), ("see %E2%82", True), ("x \\u12", True),
+        ('"All" is **well** `here(`.', False), ("The 'quoted' word's users' list.", False), ('A 5" disk.', False), ("It is 100%.", False), ("<p>One<br>two.", False), ("<b>Bold</b> and <path> here.", False), ("R&D.", False), ("see %E2%82%AC.", False), ("a) first\n\nb) last.", False),
     ],
 )
 def test_judge(text, cut):
