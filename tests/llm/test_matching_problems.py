@@ -191,6 +191,41 @@ def test_steps_do_not_change_the_result(spark):
         assert _found(spark, spans, bufs, cuts=cuts) == want
 
 
+def test_each_batch_by_a_linker_of_its_own(spark, tmp_path):
+    """State is left below a path and loaded again; a small batch opens few of its buckets; a step that is run again gives the same; hashes that other texts carry count."""
+    spans, bufs = _batches(13, 90)
+    s, b = spark.createDataFrame(spans, SPAN), spark.createDataFrame(bufs, BUFFER)
+    u = incremental.units(s, b).cache()
+    path, got = str(tmp_path / "state"), set()
+    for n in range(6):
+        link = incremental.Linker(spark, path, buckets=64, hot=64)
+        new = {(r.unit, r.first.id, r.ord.id) for r in link.step(u.where(F.col("batch_no") == n)).collect()}
+        assert link.n > n
+        got |= new
+    assert got == _greedy(spans, bufs)
+    again = incremental.Linker(spark, path, buckets=64).step(u.where("batch_no = 5"))
+    assert {(r.unit, r.first.id, r.ord.id) for r in again.collect()} == new
+    one = u.where("ord.id = 's00089'")
+    link = incremental.Linker(spark, path, buckets=64)
+    assert len(link._apart(one)[2]) <= 2
+
+
+def test_batch_numbers_of_any_size(spark):
+    rows = [("b", "d", "p", "one two three four", None, 1764313299), ("a", "d", "p", "one two three four", None, 1764313300), ("c", "d", "p", "one two three four", None, -7), ("e", "d", "p", None, None, None)]
+    assert _found(spark, rows, [], cuts=[0]) == {("span", "c", "a"), ("span", "c", "b")}
+
+
+def test_near_copies_on_most_rows_are_not_paired_with_each_other(spark, tmp_path):
+    """A hot key: later near-copies meet the first of them, in further rounds."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(f"s{i:05d}", "d", "p", " ".join(base[:20] + [f"n{i}"] + base[20:]), None, 0) for i in range(1500)]
+    rows += [(f"t{i:05d}", "d", "p", " ".join(f"u{i}x{j}" for j in range(20)), None, 0) for i in range(100)]
+    u = incremental.units(spark.createDataFrame(rows, SPAN), spark.createDataFrame([], BUFFER))
+    link = incremental.Linker(spark, str(tmp_path / "hot"), hot=128)
+    got = {(r.first.id, r.ord.id) for r in link.step(u).collect()}
+    assert got == {("s00000", f"s{i:05d}") for i in range(1, 1500)} and link.n >= 2
+
+
 def test_one_text_on_most_rows_and_empty_tables(spark):
     spans = [(f"s{i:04d}", f"d{i}", "p", "the same text of a few words here" if i % 3 else f"text number {i} " * 4, None, i // 300) for i in range(900)]
     got = _found(spark, spans, [])
