@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import functions as F
 
-from strandweave import config
+from strandweave import config, pipeline
 from strandweave.operators import answer, ingest
 from strandweave.session import local_session
-from strandweave.sources import markdown, sinks
+from strandweave.sources import sinks
 from strandweave.store import Store
 
 
@@ -22,23 +23,35 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("init", help="create the tables")
     c.add_argument("--rebuild", action="store_true")
-    c = sub.add_parser("ingest", help="spans of a folder into the ledger, and extracted units (JSON lines) into the graph")
+    c = sub.add_parser("ingest", help="a folder into the graph: spans, buffers, extraction, upserts")
     c.add_argument("folder")
-    c.add_argument("--units")
+    c.add_argument("--source", help="a source id, or what to make it from (default: the folder's real path)")
+    c.add_argument("--provider", default="rules")
+    c.add_argument("--fallback")
+    c.add_argument("--failures", help="folder for a log of refused replies")
     c.add_argument("--reextract", action="store_true")
     c = sub.add_parser("sources", help="sources that the graph holds")
     c = sub.add_parser("export", help="finetuning examples")
     c.add_argument("--out", required=True)
     c.add_argument("--format", default="finetune")
     c.add_argument("--source")
-    c = sub.add_parser("bench", help="medians by system over a folder of tables")
-    c.add_argument("tables")
-    c = sub.add_parser("query", help="ranked evidence for all questions over a folder of tables")
-    c.add_argument("tables")
+    c = sub.add_parser("bench", help="answers an evaluation suite over the store; medians by system, and seconds a question")
+    c.add_argument("suite", help="JSON lines")
+    c.add_argument("--systems", default="graph,nearest")
+    c.add_argument("--limit", type=int)
+    c = sub.add_parser("query", help="a cited answer to a question")
+    c.add_argument("question")
+    c.add_argument("--source")
+    c.add_argument("--provider", default="rules")
+    c.add_argument("--fallback")
     c.add_argument("--dry-run", action="store_true")
     return p
 
 
+def _source(spark, arg: str) -> str:
+    return spark.range(1).select(ingest.source_id(F.lit(arg))).first()[0]
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
@@ -50,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         print("only finetune is supported", file=sys.stderr)
         return 2
     if a.command == "query" and a.dry_run:
-        print(json.dumps({"tables": a.tables, "top_m": cfg.rank.top_m}))
+        print(json.dumps({"question": a.question, "source": a.source, "top_m": cfg.rank.top_m}))
         return 0
     spark = local_session()
     store = Store(spark, a.store)
@@ -60,27 +73,26 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "ingest":
         if a.reextract:
             store.clear_ledger()
-        sid = spark.range(1).select(ingest.source_id(F.lit(a.folder)).alias("s")).first()[0]
+        sid = _source(spark, a.source or os.path.realpath(a.folder))
         store.register_source(sid, a.folder)
-        spans = markdown.walk(spark, a.folder)
-        units = spark.read.json(a.units) if a.units else None
-        if units is not None:
-            units = units.select("unit_id", F.lit(sid).alias("source_id"), "doc_id", "section_path", "propositions", F.current_timestamp().alias("received_at"))
-            store.ingest(units, spans)
-        print(json.dumps({"source_id": sid, "spans": spans.count(), "ledger": store.read("ledger").count()}))
+        print(json.dumps({"source_id": sid} | pipeline.ingest_folder(store, a.folder, sid, cfg, a.provider, a.fallback, a.failures)))
     elif a.command == "sources":
         rows = [r[0] for r in store.sources().collect()]
         print("\n".join(rows) if rows else "(no sources)")
     elif a.command == "export":
         p = store.read("proposition")
         if a.source:
-            p = p.where(F.col("source_id") == ingest.source_id(F.lit(a.source)))
+            p = p.where(F.col("source_id") == _source(spark, a.source))
         e = store.read("rel").select(F.md5(F.concat_ws("|", "src", "dst", "predicate")).alias("id"), "src", "dst", "predicate", "axis", "support")
         print(sinks.write_jsonl(answer.training_examples(answer.supporting_edges(p, e)), a.out))
+    elif a.command == "query":
+        q = spark.createDataFrame([("q", a.question)], "qid string, question string")
+        r = pipeline.ask(store, q, _source(spark, a.source) if a.source else None, a.provider, a.fallback).first()
+        print(r["answer"])
+        for n, e in enumerate(r["evidence"] or [], 1):
+            print(f"[P{n}]{'*' if n in r['cited'] else ' '} ({e['source_doc'] or ''}#{e['source_span'] or ''}) {e['text']}")
     else:
-        from strandweave.catalog import queries
-
-        queries()["q_bench_aggregate" if a.command == "bench" else "q_fetch_props"](spark, a.tables).show(100, False)
+        pipeline.bench(store, sinks.read_suite(spark, a.suite, a.limit), a.systems.split(",")).show(100, False)
     return 0
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandweave.axes import AXES
 from strandweave.config import Config
-from strandweave.operators import answer, graph, ingest, vectors
+from strandweave.operators import answer, complete, graph, ingest, vectors
+from strandweave.operators.units import units_from_payloads
 from strandweave.plans.retrieval import propositions, with_chain
 from strandweave.sources import markdown
 from strandweave.sources.tables import table
@@ -127,6 +128,14 @@ def q_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return q_validate(spark, d).where("verdict <> 'valid'").groupBy(F.col("verdict").alias("error_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Propositions and triples that the offline back-end extracts from each buffer, validated."""
+    good, _ = complete.extract(buffers(spark, d).select("buffer_id", "text"))
+    raw = good.select(F.col("buffer_id").alias("unit_id"), F.lit("s").alias("source_id"), "payload", F.lit(None).cast("timestamp").alias("received_at"))
+    p = F.col("propositions")
+    return units_from_payloads(raw).select(F.col("unit_id").alias("buffer_id"), F.size(p).alias("n_propositions"), F.size(F.flatten(F.transform(p, lambda x: x["triples"]))).alias("n_triples"))
+
+
 def q_entity_surface(spark: SparkSession, d: str) -> DataFrame:
     return ingest.surfaces(_triples(spark, d)).select("unit_id", "surface", "first_pos.prop_no", "first_pos.triple_no", "first_pos.side")
 
@@ -196,7 +205,7 @@ def q_dimension_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    q_span_text, q_span_markdown, q_span_pages, q_span_hash, q_token_estimate, q_source_id, q_buffers, q_small_buffers, q_ledger_filter, q_ledger_merge, q_ingest_stats, q_strip_fence, q_validate, q_quarantine, q_entity_surface,
+    q_span_text, q_span_markdown, q_span_pages, q_span_hash, q_token_estimate, q_source_id, q_buffers, q_small_buffers, q_ledger_filter, q_ledger_merge, q_ingest_stats, q_strip_fence, q_validate, q_quarantine, q_extract, q_entity_surface,
     q_triple_resolve, q_prop_insert, q_entity_upsert, q_base_weight, q_rel_weight, q_rel_axis, q_rel_support, q_rel_upsert, q_prop_edges, q_export_finetune, q_word_count, q_dimension_guard,
 )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.axes import AXES, AXIS_TEXTS, NO_INFO
 from strandweave.config import Config
-from strandweave.operators import answer, graph, retrieve, vectors
+from strandweave.operators import answer, complete, evaluate, graph, retrieve, vectors
 from strandweave.operators.buckets import bucket_top_k
 from strandweave.session import materialise, shared_dir
 from strandweave.sources.tables import ref_id, table
@@ -21,11 +21,11 @@ class Retrieval:
     """One batch of questions over one set of tables. What several steps need is computed once, written to the shared folder and read from there:
     the embedded questions, the seeds, the subgraph and the amplitudes, all bounded by the number of questions. Each table is scanned once for it."""
 
-    def __init__(self, spark: SparkSession, d: str, asked: DataFrame | None = None, source_id: str | None = None):
+    def __init__(self, spark: SparkSession, d, asked: DataFrame | None = None, source_id: str | None = None):
         self.spark, self.d, self.asked, self.source_id = spark, d, asked, source_id
 
     def table(self, name: str) -> DataFrame:
-        t = table(self.spark, self.d, name)
+        t = table(self.spark, self.d, name) if isinstance(self.d, str) else self.d.table(name)  # a folder of tables, or a store
         return t if self.source_id is None else t.where(F.col("source_id") == self.source_id)
 
     @cached_property
@@ -231,6 +231,21 @@ def q_answer_prompt(spark: SparkSession, d: str) -> DataFrame:
     return prompts(Retrieval(spark, d))
 
 
+def q_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by the offline back-end, which cites all the evidence it is given, and the citations read from them."""
+    a = materialise(complete.answers(prompts(Retrieval(spark, d))), "answers")
+    n = answer.citations(a).groupBy("qid").agg(F.countDistinct("cited").alias("n_cited"))
+    return a.join(n, "qid", "left").select("qid", "answer", F.coalesce("n_cited", F.lit(0)).alias("n_cited"))
+
+
+def q_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the nearest proposition's text against the gold answer, by the offline back-end."""
+    items = table(spark, d, "eval_item").dropDuplicates(["item_id"]).select(F.col("item_id").alias("qid"), "question", "gold_answer")
+    best = Retrieval(spark, d).nearest(1).select("qid", F.col("text").alias("answer"))
+    asked = complete.complete(complete.judge_prompts(items.join(best, "qid", "left")), "prompt", "reply")
+    return asked.select("qid", evaluate.judge_score(F.col("reply")).alias("score"))
+
+
 def q_naive_citations(spark: SparkSession, d: str) -> DataFrame:
     """The baseline without graph: the ten nearest propositions, all of them cited."""
     return Retrieval(spark, d).nearest(10).select("qid", F.concat(F.coalesce("source_doc", F.lit("")), F.lit("#"), F.coalesce("source_span", F.lit(""))).alias("citation")).distinct()
@@ -357,7 +372,7 @@ def with_chain(last: str, select: str) -> str:
 
 _QUERIES = (
     q_cosine, q_l2_norm, q_embed, q_seed_entities, q_seed_props, q_graph_edges, q_mentions, q_one_hop, q_two_hops, q_source_scope, q_scoped_hop, q_scoped_props, q_sources, q_amplitude, q_amp_degenerate, q_amp_pivot,
-    q_reweight, q_ppr, q_ppr_noedge, q_viz_nodes, q_viz_edges, q_assemble, q_picked, q_fetch_props, q_budget, q_answer_prompt, q_naive_citations, q_graph_pagerank, q_ann_recall,
+    q_reweight, q_ppr, q_ppr_noedge, q_viz_nodes, q_viz_edges, q_assemble, q_picked, q_fetch_props, q_budget, q_answer_prompt, q_answers, q_judged, q_naive_citations, q_graph_pagerank, q_ann_recall,
 )
 
 
@@ -412,6 +427,18 @@ def oracle_sql() -> dict[str, str]:
             "cost",
             f"""SELECT q.qid, coalesce(c.n, 0) n_propositions, CASE WHEN c.n IS NULL THEN '{no_info}' ELSE 'Use only the numbered propositions and cite each claim by its mark.' || chr(10) || c.e || chr(10) || 'Question: ' || q.question END prompt
       FROM q LEFT JOIN (SELECT qid, count(*) n, string_agg('[P' || n || '] (' || coalesce(source_doc, '') || '#' || source_span || ') ' || coalesce(text, ''), chr(10) ORDER BY n) e FROM cost WHERE cost <= 16000 OR n = 1 GROUP BY 1) c ON c.qid = q.qid""",
+        ),
+        "q_answers": with_chain(
+            "cost",
+            f"""SELECT q.qid, coalesce('It is stated in ' || c.m || '.', '{no_info}') answer, coalesce(c.n, 0) n_cited
+      FROM q LEFT JOIN (SELECT qid, count(*) n, string_agg('[P' || n || ']', ', ' ORDER BY n) m FROM cost WHERE cost <= 16000 OR n = 1 GROUP BY 1) c ON c.qid = q.qid""",
+        ),
+        "q_judged": with_chain(
+            "sp",
+            """, gw AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(ga), '[a-z0-9]+')) w FROM (SELECT item_id qid, any_value(gold_answer) ga FROM eval_item GROUP BY 1)),
+      aw AS (SELECT DISTINCT s.qid, unnest(regexp_extract_all(lower(p.text), '[a-z0-9]+')) w FROM sp s JOIN prop p ON p.id = s.id WHERE s.rank = 1)
+      SELECT q.qid, CAST(least(4, coalesce(5 * h.n // greatest(1, g.n), 0)) AS INT) score FROM q LEFT JOIN (SELECT qid, count(*) n FROM gw GROUP BY 1) g ON g.qid = q.qid
+      LEFT JOIN (SELECT gw.qid, count(*) n FROM gw JOIN aw ON aw.qid = gw.qid AND aw.w = gw.w GROUP BY 1) h ON h.qid = q.qid""",
         ),
         "q_naive_citations": with_chain("sp", "SELECT DISTINCT s.qid, coalesce(p.source_doc, '') || '#' || coalesce(p.source_span, '') citation FROM sp s JOIN prop p ON p.id = s.id WHERE s.rank <= 10"),
     }

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave import config
-from strandweave.operators import answer, evaluate, ingest
+from strandweave import config, pipeline
+from strandweave.operators import answer, complete, evaluate, ingest
 from strandweave.sources import markdown
 from strandweave.store import Store
 
@@ -151,16 +151,91 @@ def test_config(tmp_path):
 def test_store_is_idempotent_and_merges(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     s.init()
-    assert "ledger" in s.tables()
-    ddl = "unit_id string, source_id string, doc_id string, section_path string, propositions array<struct<text:string,triples:array<struct<subject:string,predicate:string,object:string,ontology_axis:string,confidence:double>>>>, received_at timestamp"
-    u = lambda i, c: spark.createDataFrame([(f"u{i}", "s", "d", "p", [("t", [("A", "r", "B", "causal", c)])], None)], ddl)
-    span = spark.createDataFrame([("H1", "d", "p")], "hash string, doc_id string, section_path string")
-    s.ingest(u(1, 0.9), span)
-    s.ingest(u(2, 0.5), span)
-    rel = s.read("rel").collect()
-    assert len(rel) == 1 and rel[0].base_weight == pytest.approx(0.85) and rel[0].n_assertions == 2 and rel[0].axis_counts == {"causal": 2}
-    assert s.read("ledger").count() == 1 and s.read("proposition").count() == 1
-    assert {r.name: r.mention_count for r in s.read("entity").collect()} == {"A": 1, "B": 1}
+    s.init()
+    assert "ledger" in s.tables() and s.read("axis").count() == 5
+    ddl = "unit_id string, source_id string, doc_id string, section_path string, span_hashes array<string>, propositions array<struct<text:string,triples:array<struct<subject:string,predicate:string,object:string,ontology_axis:string,confidence:double>>>>, received_at timestamp"
+    unit = lambda i, c: spark.createDataFrame([(f"u{i}", "s", "d", "p", [f"H{i}"], [("t", [("A", "r", "B", "causal", c), ("A", "r", "C", "no axis", c)]), ("alone", None)], None)], ddl)
+    span = lambda i: spark.createDataFrame([(f"H{i}", "d", "p")], "hash string, doc_id string, section_path string")
+    s.ingest(unit(1, 0.9), span(1))
+    born = {r.name: r.created_at for r in s.read("entity").collect()}
+    for _ in range(2):  # the second time nothing is new
+        s.ingest(unit(2, 0.5), span(2))
+        rel = s.read("rel").collect()
+        assert len(rel) == 1 and rel[0].base_weight == pytest.approx(0.85) and rel[0].n_assertions == 2 and rel[0].axis_counts == {"causal": 2}
+        assert s.read("ledger").count() == 2 and {r.text for r in s.read("proposition").collect()} == {"t", "alone"}
+        ent = {r.name: r for r in s.read("entity").collect()}
+        assert {n: r.mention_count for n, r in ent.items()} == {"A": 1, "B": 1} and {n: r.created_at for n, r in ent.items()} == born
+        assert all(len(r.embedding) == 64 for r in ent.values()) and {rel[0].src, rel[0].dst} == {r.id for r in ent.values()}
     assert [r[0] for r in s.sources().collect()] == ["s"]
     s.clear_ledger()
-    assert s.read("ledger").count() == 0
+    assert s.read("ledger").count() == 0 and s.read("entity").count() == 2
+    s.init(rebuild=True)
+    assert s.read("entity").count() == 0
+
+
+def test_positions_beyond_an_int(spark):
+    t = spark.createDataFrame([("u", 5000, 1, "A", "B"), ("u", 1, 2_000_000, "B", "C")], "unit_id string, prop_no int, triple_no int, subject string, object string")
+    got = {r.surface: tuple(r.first_pos) for r in ingest.surfaces(t).collect()}
+    assert got == {"A": (5000, 1, 0), "B": (1, 2_000_000, 0), "C": (1, 2_000_000, 1)}
+
+
+def test_completions_are_tried_again_and_fall_back(spark):
+    def broken():
+        def f(prompts):
+            raise RuntimeError("down")
+
+        return f
+
+    def once():  # fails on its first call
+        calls = []
+
+        def f(prompts):
+            calls.append(1)
+            if len(calls) == 1:
+                raise TimeoutError("busy")
+            return [p.upper() for p in prompts]
+
+        return f
+
+    complete.register_backend("broken", broken)
+    complete.register_backend("once", once)
+    d = spark.createDataFrame([("a",), (None,), ("b",)], "p string").coalesce(1)
+    rows = lambda *a, **k: [tuple(r) for r in complete.complete(d, "p", "out", *a, **k).collect()]
+    assert rows("once") == [("a", "A", None), (None, None, None), ("b", "B", None)]
+    assert rows("broken", "once")[0] == ("a", "A", None)
+    assert rows("broken")[0] == ("a", None, "RuntimeError: down")
+    with pytest.raises(ValueError):
+        complete.complete(d, "p", "out", "none")
+
+
+def test_extraction_repairs_once(spark):
+    def stubborn():
+        def f(prompts):
+            good = json.dumps(GOOD)
+            return [good if "fine" in p or ("mend" in p and complete.REPAIR in p) else "{broken" for p in prompts]
+
+        return f
+
+    complete.register_backend("stubborn", stubborn)
+    b = spark.createDataFrame([("1", "fine"), ("2", "mend"), ("3", "never")], "unit_id string, text string")
+    good, bad = complete.extract(b, "stubborn")
+    assert {r.unit_id for r in good.collect()} == {"1", "2"}
+    assert [(r.unit_id, r.error_type, r.error_message) for r in bad.collect()] == [("3", "validation", "no valid JSON")]
+
+
+def test_folder_to_answer(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# Index\n\nVectors cause faster search. A partition is a kind of segment.\n")
+    (tmp_path / "docs" / "b.txt").write_text("Backups run before upgrades.")
+    s = Store(spark, str(tmp_path / "store"))
+    s.init()
+    one = pipeline.ingest_folder(s, str(tmp_path / "docs"), "src_x", config.Config())
+    assert one == {"spans": 2, "buffers": 2, "skipped": 0, "extracted": 2, "refused": 0}
+    n = {t: s.read(t).count() for t in ("entity", "proposition", "rel", "ledger", "mentions")}
+    assert n["proposition"] == 3 and n["rel"] == 3 and n["ledger"] == 2
+    two = pipeline.ingest_folder(s, str(tmp_path / "docs"), "src_x", config.Config())
+    assert two["skipped"] == 2 and {t: s.read(t).count() for t in n} == n
+    q = spark.createDataFrame([("q", "Vectors search")], "qid string, question string")
+    r = pipeline.ask(s, q, "src_x").first()
+    assert r.answer.startswith("It is stated in [P1]") and len(r.evidence) == len(r.cited) > 0
+    assert pipeline.ask(s, q, "src_other").first().answer.startswith("I don't have information")
