@@ -222,9 +222,10 @@ def _habits(docs: DataFrame, closers: set[str]) -> DataFrame:
                     if not bare or closing_line(last) not in closers:
                         c[0] += 1
                         c[1] += bare
-                reason, line, _ = judge(t)
                 c[2] += 1
-                c[3] += reason == "no terminator" and line not in closers and not _SENTENCE.search(t.rstrip())
+                if not _SENTENCE.search(t.rstrip()):  # the automaton need not read the others again
+                    reason, line, _ = judge(t)
+                    c[3] += reason == "no terminator" and line not in closers
             yield pd.DataFrame([(s, *c) for s, c in n.items()], columns=["source", "ends", "bare", "pages", "titles"])
 
     counted = docs.select(F.col("source").cast("string"), "text").where("text IS NOT NULL").mapInPandas(run, "source string, ends long, bare long, pages long, titles long")
