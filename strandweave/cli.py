@@ -92,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         for n, e in enumerate(r["evidence"] or [], 1):
             print(f"[P{n}]{'*' if n in r['cited'] else ' '} ({e['source_doc'] or ''}#{e['source_span'] or ''}) {e['text']}")
     else:
-        pipeline.bench(store, sinks.read_suite(spark, a.suite, a.limit), a.systems.split(",")).show(100, False)
+        pipeline.bench(store, sinks.read_suite(spark, a.suite, a.limit), pipeline.systems(a.systems)).show(100, False)
     return 0
 
 

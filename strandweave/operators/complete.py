@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,9 +21,9 @@ def register_backend(name: str, make: Callable[[], Callable[[list[str]], list[st
     _BACKENDS[name] = make
 
 
-def complete(df: DataFrame, prompt: str, out: str, provider: str = "rules", fallback: str | None = None, tries: int = 3) -> DataFrame:
-    """Adds `out` and `out`_error. A batch of prompts that fails is tried again up to `tries` times, then with the fallback; if that fails too, its rows
-    have no completion and the last error. A null prompt has neither."""
+def complete(df: DataFrame, prompt: str, out: str, provider: str = "rules", fallback: str | None = None, tries: int = 3, wait: float = 0.5) -> DataFrame:
+    """Adds `out` and `out`_error. A batch of prompts that fails is tried again up to `tries` times, after `wait` seconds and then twice as long each time, and
+    then with the fallback; if that fails too, its rows have no completion and the last error. A null prompt has neither."""
     makers = []
     for name in [provider] + ([fallback] if fallback else []):
         if name not in _BACKENDS:
@@ -35,7 +36,9 @@ def complete(df: DataFrame, prompt: str, out: str, provider: str = "rules", fall
         for s in batches:
             ask = s[s.notna()].tolist()
             got, error = [None] * len(ask), None
-            for n in [i for i in range(len(makers)) for _ in range(tries)] if ask else []:
+            for n, again in [(i, j) for i in range(len(makers)) for j in range(tries)] if ask else []:
+                if again:
+                    time.sleep(wait * 2 ** (again - 1))
                 try:
                     made.setdefault(n, makers[n]())
                     got, error = list(made[n](ask)), None

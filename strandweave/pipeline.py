@@ -45,6 +45,18 @@ def ask(store: Store, questions: DataFrame, source_id: str | None = None, provid
     return questions.join(a, "qid").join(cited, "qid", "left").join(kept, "qid", "left").select("qid", "question", "answer", F.coalesce("cited", F.array().cast("array<bigint>")).alias("cited"), "evidence")
 
 
+SYSTEMS = ("graph", "nearest")
+
+
+def systems(named: str) -> list[str]:
+    """A comma-separated list of systems; blanks around names and empty ones are dropped, each is run once, an unknown one is an error."""
+    found = list(dict.fromkeys(s.strip() for s in named.split(",") if s.strip()))
+    unknown = [s for s in found if s not in SYSTEMS]
+    if unknown or not found:
+        raise ValueError(f"systems are {', '.join(SYSTEMS)}, not {', '.join(unknown) or 'none'}")
+    return found
+
+
 def bench(store: Store, suite: DataFrame, systems: list[str]) -> DataFrame:
     """Medians by system over a suite, all stages by the offline back-end: correctness as its judge scores it, and the seconds a question took in the batch."""
     spark, out = store.spark, []

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave import config, pipeline
-from strandweave.operators import answer, complete, evaluate, ingest
+from strandweave.operators import answer, complete, evaluate, ingest, remote, vectors
 from strandweave.sources import markdown
 from strandweave.store import Store
 
@@ -202,12 +202,41 @@ def test_completions_are_tried_again_and_fall_back(spark):
     d = spark.createDataFrame([("a",), (None,), ("b",)], "p string").coalesce(1)
     rows = lambda *a, **k: [tuple(r) for r in complete.complete(d, "p", "out", *a, **k).collect()]
     assert rows("once") == [("a", "A", None), (None, None, None), ("b", "B", None)]
-    assert rows("broken", "once")[0] == ("a", "A", None)
-    assert rows("broken")[0] == ("a", None, "RuntimeError: down")
+    assert rows("broken", "once", wait=0.01)[0] == ("a", "A", None)
+    assert rows("broken", wait=0.01)[0] == ("a", None, "RuntimeError: down")
     with pytest.raises(ValueError):
         complete.complete(d, "p", "out", "none")
 
 
+def test_models_behind_http(spark):
+    """A task's requests go through what is given to send with; the reply's text and numbers are read where the path says."""
+
+    def send(url, body, timeout):
+        if "prompt" in body:
+            return {"data": [{"embedding": [float(len(body["prompt"])), 1.0]}]}
+        if body["messages"][-1]["content"] == "bad":
+            raise OSError("refused")
+        return {"message": {"content": f"{url} {body['model']} {body['format']} {len(body['messages'])} {body['messages'][-1]['content']}"}}
+
+    vectors.register_backend("far", remote.embeddings("http://e", "m", path="data.0.embedding", send=send))
+    complete.register_backend("far", remote.completions("http://c", "m", system="be brief", extra={"format": "json"}, send=send))
+    d = spark.createDataFrame([("abc",), (None,)], "t string").coalesce(1)
+    assert [list(r.v) for r in vectors.embed(d, "t", "v", 2, "far").collect()] == [[3.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(Exception, match="gives 2 numbers, not 64"):
+        vectors.embed(d, "t", "v", 64, "far").collect()
+    assert complete.complete(d, "t", "out", "far").first().out == "http://c m json 2 abc"
+    one = complete.complete(spark.createDataFrame([("bad",)], "t string"), "t", "out", "far", wait=0.01).first()
+    assert (one.out, one.out_error) == (None, "OSError: refused")
+    assert remote.pick({"a": [{"b": 3}]}, "a.0.b") == 3
+
+
+def test_systems_are_parsed():
+    assert pipeline.systems(" graph, ,nearest,graph ") == ["graph", "nearest"]
+    for bad in ("", " , ", "graph,other"):
+        with pytest.raises(ValueError):
+            pipeline.systems(bad)
+
+
 def test_extraction_repairs_once(spark):
     def stubborn():
         def f(prompts):
