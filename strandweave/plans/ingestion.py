@@ -236,6 +236,29 @@ vote AS MATERIALIZED (SELECT {key}, axis, c FROM (SELECT *, row_number() OVER (P
 sup AS MATERIALIZED (SELECT {key}, count(*) cn, string_agg(pid, ',' ORDER BY f) support FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY f DESC) r FROM (SELECT {key}, pid, min(i) f FROM seq GROUP BY {key}, pid)) WHERE r <= 100 GROUP BY {key})"""
 
 
+def _first_error(v: str, path: str, x: str, case: str) -> str:
+    return f"list_filter(list_transform(json_extract({v}, '{path}[*]'), lambda {x}: {case}), lambda y: y IS NOT NULL)[1]"
+
+
+_AXIS_LIST = ", ".join(f"'{a}'" for a in AXES)
+_TRIPLE_ERROR = f"""CASE WHEN json_type(t) <> 'OBJECT' THEN 'triple is not an object'
+  WHEN NOT list_has_all(json_keys(t), ['subject', 'predicate', 'object', 'ontology_axis', 'confidence']) THEN 'triple lacks a key'
+  WHEN json_type(t, '$.ontology_axis') <> 'VARCHAR' OR t->>'$.ontology_axis' NOT IN ({_AXIS_LIST}) THEN 'unknown axis'
+  WHEN json_type(t, '$.confidence') NOT IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'confidence is not a number'
+  WHEN CAST(t->>'$.confidence' AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'confidence is out of range' END"""
+_PROPOSITION_ERROR = f"""CASE WHEN json_type(p) <> 'OBJECT' THEN 'proposition is not an object'
+  WHEN NOT list_has_all(json_keys(p), ['text', 'triples']) THEN 'proposition lacks a key'
+  WHEN json_type(p, '$.text') <> 'VARCHAR' OR trim(p->>'$.text') = '' THEN 'text is blank or no string'
+  WHEN json_type(p, '$.triples') <> 'ARRAY' THEN 'triples is no list' ELSE {_first_error('p', '$.triples', 't', _TRIPLE_ERROR)} END"""
+_VERDICT = rf"""WITH f AS (SELECT unit_id, trim(any_value(payload), chr(32) || chr(9) || chr(13) || chr(10)) t FROM raw_unit GROUP BY 1),
+s AS (SELECT unit_id, CASE WHEN t LIKE '```%' THEN regexp_replace(regexp_replace(t, '^```[^\n]*\n', ''), '\s*```\s*$', '') ELSE t END s FROM f),
+j AS (SELECT unit_id, CASE WHEN regexp_matches(s, '[}}\]"A-Za-z0-9]$') AND json_valid(s) THEN CAST(s AS JSON) END v FROM s),
+w AS (SELECT unit_id, coalesce(CASE WHEN v IS NULL THEN 'no valid JSON' WHEN json_type(v) <> 'OBJECT' THEN 'payload is not an object'
+  WHEN NOT list_contains(json_keys(v), 'propositions') THEN 'payload lacks propositions' WHEN json_type(v, '$.propositions') <> 'ARRAY' THEN 'propositions is no list'
+  ELSE {_first_error('v', '$.propositions', 'p', _PROPOSITION_ERROR)} END, 'valid') verdict FROM j)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     def pack(most: int, overlap: int) -> str:
         tail, over = 4 * overlap, f"f.tok + s.t > {most}"
@@ -260,6 +283,11 @@ def oracle_sql() -> dict[str, str]:
         "q_ledger_filter": f"WITH {_LEDGER} SELECT buffer_id, batch_no FROM todo",
         "q_ledger_merge": f"WITH {_SPAN} SELECT DISTINCT lower(hash) span_hash FROM sp1 WHERE hash IS NOT NULL",
         "q_ingest_stats": f"WITH {_LEDGER}, {_SURF} SELECT (SELECT count(*) FROM buf) buffers, (SELECT count(*) FROM buf) - (SELECT count(*) FROM todo) skipped, (SELECT count(DISTINCT (unit_id, prop_no)) FROM tr) propositions, (SELECT count(*) FROM tr) rels, (SELECT count(*) FROM surf) entities",
+        "q_validate": _VERDICT + "SELECT unit_id, verdict FROM w",
+        "q_quarantine": _VERDICT + "SELECT verdict error_type, count(*) n FROM w WHERE verdict <> 'valid' GROUP BY 1",
+        "q_extract": r"""WITH b AS (SELECT buffer_id, trim(any_value("text"), chr(32) || chr(9) || chr(13) || chr(10)) t FROM buffer WHERE "text" IS NOT NULL GROUP BY 1),
+    s AS (SELECT buffer_id, list_filter(string_split(regexp_replace(t, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}_]+')) >= 3) s FROM b)
+    SELECT buffer_id, CAST(len(s) AS INT) n_propositions, CAST(len(s) AS INT) n_triples FROM s""",
         "q_strip_fence": """SELECT unit_id, CAST(length(s) AS INT) n_chars, md5(s) digest FROM (SELECT unit_id, CASE WHEN t LIKE '```%' THEN regexp_replace(regexp_replace(t, '^```[^\\n]*\\n', ''), '\\s*```\\s*$', '') ELSE t END s FROM (SELECT unit_id, trim(any_value(payload), chr(32) || chr(9) || chr(13) || chr(10)) t FROM raw_unit GROUP BY 1))""",
         "q_entity_surface": f"WITH {_SURF} SELECT unit_id, surface, CAST(first_pos.p AS INT) prop_no, CAST(first_pos.t AS INT) triple_no, first_pos.k side FROM surf",
         "q_triple_resolve": with_chain("ent", "SELECT 1").replace("\nSELECT 1", f""", {_TRI}, nm AS MATERIALIZED (SELECT lower(name) k, min(id) id FROM ent WHERE name IS NOT NULL GROUP BY 1)

@@ -370,6 +370,19 @@ def with_chain(last: str, select: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in _CHAIN[:upto]) + "\n" + select
 
 
+def _pagerank_sql(iterations: int = 10) -> str:
+    """The loop of graph_pagerank, a table for each round."""
+    steps = ["g0 AS MATERIALIZED (SELECT id, r, r p FROM (SELECT id, 1 / count(*) OVER ()::DOUBLE r FROM (SELECT DISTINCT id FROM se)))"]
+    for i in range(iterations):
+        steps.append(f"sent{i} AS MATERIALIZED (SELECT t.dst, g.p * t.t x FROM g{i} g JOIN turn t ON t.src = g.id)")
+        back = f"SELECT id, r * (1 - 0.85 * (SELECT coalesce(sum(x), 0) FROM sent{i})) FROM g0"
+        steps.append(f"g{i + 1} AS MATERIALIZED (SELECT id, sum(x) p FROM (SELECT dst id, 0.85 * x x FROM sent{i} UNION ALL {back}) GROUP BY 1)")
+    return with_chain("se", "").rstrip() + f""",
+pos AS MATERIALIZED (SELECT src, dst, base_weight w FROM edge WHERE base_weight > 0),
+turn AS MATERIALIZED (SELECT src, dst, sum(w / o) t FROM pos JOIN (SELECT src, sum(w) o FROM pos GROUP BY 1) USING (src) GROUP BY 1, 2),
+{", ".join(steps)} SELECT id, round(p, 6) p FROM g{iterations}"""
+
+
 _QUERIES = (
     q_cosine, q_l2_norm, q_embed, q_seed_entities, q_seed_props, q_graph_edges, q_mentions, q_one_hop, q_two_hops, q_source_scope, q_scoped_hop, q_scoped_props, q_sources, q_amplitude, q_amp_degenerate, q_amp_pivot,
     q_reweight, q_ppr, q_ppr_noedge, q_viz_nodes, q_viz_edges, q_assemble, q_picked, q_fetch_props, q_budget, q_answer_prompt, q_answers, q_judged, q_naive_citations, q_graph_pagerank, q_ann_recall,
@@ -416,6 +429,7 @@ def oracle_sql() -> dict[str, str]:
         "q_amp_pivot": with_chain("amps", f"SELECT qid, {pivot} FROM amps GROUP BY 1"),
         "q_reweight": with_chain("rw", "SELECT qid, id, round(weight + 1e-9, 6) weight FROM rw"),
         "q_ppr": with_chain("p20", "SELECT qid, node, round(p, 6) activation FROM p20"),
+        "q_graph_pagerank": _pagerank_sql(),
         "q_ppr_noedge": with_chain("se", "SELECT qid, id node, round(1.0::DOUBLE / count(*) OVER (PARTITION BY qid), 6) activation FROM se"),
         "q_viz_nodes": with_chain("p20", "SELECT qid, node, substr(node, 1, 8) \"label\", round(greatest(p, 0.01) * 100, 4) size FROM p20"),
         "q_viz_edges": with_chain("rw", "SELECT qid, id, coalesce(axis, '') \"label\", round(greatest(weight, 0.01) * 10 + 1e-9, 6) width FROM rw"),
