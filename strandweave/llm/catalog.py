@@ -123,6 +123,40 @@ w AS (
      UNION ALL SELECT 'q', item_id, gold_answer FROM eval_item)))
 """
 
+# Pages with 12 words of an item, at most one of them replaced, dropped or added: runs of words with one left open meet on the rest.
+_ONE_EDIT = r"""
+wd AS (SELECT k, i, f, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') t FROM
+    (SELECT 'd' k, CAST(doc_id AS VARCHAR) i, '' f, "text" x FROM documents
+     UNION ALL SELECT 'q', item_id, 'question', question FROM eval_item
+     UNION ALL SELECT 'q', item_id, 'gold_answer', gold_answer FROM eval_item)),
+item AS (SELECT DISTINCT i, f, t[j:j + 11] g FROM (SELECT i, f, t, unnest(range(1, len(t) - 10)) j FROM wd WHERE k = 'q' AND len(t) >= 12)),
+hit AS (
+  SELECT array_to_string(g, ' ') h, i, f, 0 c FROM item
+  UNION ALL SELECT array_to_string(g[1:m - 1] || ['*'] || g[m + 1:12], ' '), i, f, 1 FROM item, range(1, 13) r(m)
+  UNION ALL SELECT array_to_string(g[1:m - 1] || g[m + 1:12], ' '), i, f, 1 FROM item, range(1, 13) r(m)
+  UNION ALL SELECT array_to_string(g[1:m - 1] || ['*'] || g[m:12], ' '), i, f, 1 FROM item, range(2, 13) r(m)),
+page AS (SELECT i, t, unnest(range(1, len(t) - 9)) j FROM wd WHERE k = 'd' AND len(t) >= 11),
+said AS (
+  SELECT i, array_to_string(t[j:j + 10], ' ') h FROM page
+  UNION ALL SELECT i, array_to_string(t[j:j + 11], ' ') FROM page WHERE j + 11 <= len(t)
+  UNION ALL SELECT i, array_to_string(t[j:j + m - 2] || ['*'] || t[j + m:j + 11], ' ') FROM page, range(1, 13) r(m) WHERE j + 11 <= len(t)
+  UNION ALL SELECT i, array_to_string(t[j:j + m - 2] || ['*'] || t[j + m:j + 12], ' ') FROM page, range(2, 13) r(m) WHERE j + 12 <= len(t)),
+leak AS (SELECT CAST(said.i AS BIGINT) doc_id, hit.i item_id, hit.f field, CAST(min(hit.c) AS INT) n_edits FROM said JOIN hit ON said.h = hit.h GROUP BY 1, 2, 3)
+"""
+
+
+def _usable_sql(t: str) -> str:
+    bad = "list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))"
+    return f"SELECT DISTINCT '{t}' tbl, id, CAST(embedding AS DOUBLE[]) v FROM {t} WHERE id IS NOT NULL AND len(embedding) = 64 AND len({bad}) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+
+# Every pair: what the forest finds is held against it where all pairs can be had.
+_NEAREST = f"""
+e AS ({_usable_sql('entity')} UNION ALL {_usable_sql('proposition')}),
+s AS (SELECT a.tbl, a.id, b.id other, list_cosine_similarity(a.v, b.v) sim FROM e a JOIN e b ON a.tbl = b.tbl AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY tbl, id ORDER BY round(sim, 9) DESC, other) n FROM s WHERE sim >= 0.85)
+"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_nearest, p5_found, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_exact, p7_exact_shares, p8_found, p8_shares)}
@@ -132,5 +166,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_CANON} SELECT DISTINCT c.tbl, keep_id, id dup_id FROM c JOIN g USING (tbl, src, dst, base, quals) WHERE id <> keep_id",
         "p1_records": f"WITH {_CANON} SELECT tbl, keep_id, base, quals, n_rows, n_spellings, n_ids FROM g",
+        "p2_found": f"WITH {_NEAREST} SELECT DISTINCT tbl, least(id, other) id_a, greatest(id, other) id_b FROM r WHERE n <= 5",
+        "p6_leaks": f"WITH {_ONE_EDIT} SELECT doc_id, item_id, field, n_edits FROM leak",
+        "p6_items": f"WITH {_ONE_EDIT} SELECT item_id, count(DISTINCT doc_id) n_pages, min(n_edits) n_edits FROM leak GROUP BY 1",
         "p6_found": f"WITH {_WORDS12} SELECT DISTINCT CAST(a.i AS BIGINT) doc_id, b.i item_id FROM w a JOIN w b ON a.g = b.g WHERE a.k = 'd' AND b.k = 'q'",
     }
