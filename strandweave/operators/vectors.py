@@ -44,6 +44,20 @@ def _hash_backend(dim: int) -> Callable[[list[str]], np.ndarray]:
 register_backend("hash", _hash_backend)
 
 
+def local_model(name: str, load: Callable | None = None) -> Callable[[int], Callable[[list[str]], np.ndarray]]:
+    """For `register_backend`: a model in the task's process, loaded once a task, that encodes a batch at a time. load(name) gives an object with encode(texts);
+    without it, sentence_transformers must be installed on the workers."""
+
+    def make(dim: int) -> Callable[[list[str]], np.ndarray]:
+        loader = load
+        if loader is None:
+            from sentence_transformers import SentenceTransformer as loader
+        model = loader(name)
+        return lambda texts: np.asarray(model.encode(texts), np.float32)
+
+    return make
+
+
 def embed(df: DataFrame, text: str, out: str, dim: int = 64, provider: str = "hash") -> DataFrame:
     """Adds `out`, array<float>, from the back-end named; a back-end that yields another size is an error."""
     if provider not in _BACKENDS:

@@ -85,6 +85,36 @@ class Store:
     def sources(self) -> DataFrame:
         return self.read("entity").select("source_id").unionByName(self.read("proposition").select("source_id")).where("source_id IS NOT NULL").distinct().orderBy("source_id")
 
+    def add_entities(self, rows: DataFrame) -> None:
+        """rows(seq, name, kind, embedding, source_id), one or many, as one batch. A name that is known in whatever case counts its mentions up and takes the last
+        embedding and source; name, kind and creation stay. Rows without a name are left out; seq is their order."""
+        new = rows.where("name IS NOT NULL").groupBy(F.lower("name").alias("key")).agg(
+            F.min_by(F.struct("name", "kind"), "seq").alias("a"), F.max_by(F.struct("embedding", "source_id"), "seq").alias("z"), F.count(F.lit(1)).alias("n")
+        )
+        old = self.read("entity").select(F.lower("name").alias("key"), F.struct("id", "name", "kind", "mention_count", "created_at").alias("o"))
+        known = F.col("o").isNotNull()
+        first = lambda c: F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+        count = F.when(known, F.col("o.mention_count") + F.col("n")).otherwise(F.col("n") - 1).alias("mention_count")
+        up = new.join(old, "key", "left").select(F.coalesce("o.id", F.md5("key")).alias("id"), first("name"), first("kind"), "z.embedding", count, "z.source_id", F.coalesce("o.created_at", F.current_timestamp()).alias("created_at"))
+        self.commit(entity=materialise(up, "entities"))
+
+    def add_propositions(self, rows: DataFrame) -> None:
+        """rows(seq, text, source_doc, source_span, embedding, source_id). The id is made of all but the embedding, so a row that is sent again is the same proposition."""
+        pid = ingest.proposition_id(*[F.col(c) for c in ("source_id", "source_doc", "source_span", "text", "seq")]).alias("id")
+        self.commit(proposition=rows.where("text IS NOT NULL").select(pid, "text", "source_doc", "source_span", "embedding", "source_id", F.current_timestamp().alias("created_at")).dropDuplicates(["id"]))
+
+    def add_edges(self, rows: DataFrame) -> None:
+        """rows(seq, src, dst, predicate, axis, base_weight, proposition_id, source_id): assertions of edges between entity ids, folded in order of seq onto what is
+        there. Rows that lack an end, a predicate or a weight are left out."""
+        a = rows.where("src IS NOT NULL AND dst IS NOT NULL AND predicate IS NOT NULL AND base_weight IS NOT NULL").withColumn("confidence", F.col("base_weight") * 2 - 1)
+        new = materialise(graph.upsert_edges(a, EDGE_KEY, ["seq"]), "edges")
+        self.commit(rel=materialise(graph.merge_edges(self.read("rel").join(new.select(*EDGE_KEY), EDGE_KEY, "left_semi"), new, EDGE_KEY), "rel"))
+
+    def add_to_ledger(self, rows: DataFrame) -> None:
+        """rows(span_hash, doc_id, section_path); hashes that are there already change nothing."""
+        new = ingest.ledger_insert(self.read("ledger"), rows.withColumn("span_hash", F.lower("span_hash")))
+        self.commit(ledger=new.select("span_hash", "doc_id", "section_path"))
+
     def ingest(self, units: DataFrame, spans: DataFrame, quarantine: DataFrame | None = None) -> None:
         """units(unit_id, source_id, doc_id, section_path, span_hashes, propositions, received_at) and the spans(hash, doc_id, section_path) they are made of, as one batch.
 

@@ -173,6 +173,44 @@ def test_store_is_idempotent_and_merges(spark, tmp_path):
     assert s.read("entity").count() == 0
 
 
+def test_store_takes_single_rows_and_batches(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    e = lambda *r: s.add_entities(spark.createDataFrame(list(r), "seq int, name string, kind string, embedding array<float>, source_id string"))
+    e((1, "Ab", "tool", [1.0, 0.0], "s"))
+    e((1, "aB", "other", [0.0, 1.0], "t"), (2, None, None, None, None), (3, "c", None, None, "t"), (4, "C", "x", [2.0], None))
+    got = {r.name: r for r in s.read("entity").collect()}
+    assert set(got) == {"Ab", "c"} and (got["Ab"].kind, got["Ab"].mention_count, got["Ab"].source_id, got["Ab"].embedding) == ("tool", 1, "t", [0.0, 1.0])
+    assert (got["c"].kind, got["c"].mention_count, got["c"].source_id, got["c"].embedding) == (None, 1, None, [2.0])
+    p = spark.createDataFrame([(1, "x", "d", None, None, "s"), (1, "x", "d", None, None, "s"), (2, None, "d", None, None, "s")], "seq int, text string, source_doc string, source_span string, embedding array<float>, source_id string")
+    for _ in range(2):
+        s.add_propositions(p)
+        assert [r.text for r in s.read("proposition").collect()] == ["x"]
+    r = lambda *x: s.add_edges(spark.createDataFrame(list(x), "seq int, src string, dst string, predicate string, axis string, base_weight double, proposition_id string, source_id string"))
+    r((1, "a", "b", "r", "causal", 0.8, "p1", "s"))
+    r((1, "a", "b", "r", "temporal", 0.6, "p2", "t"), (2, "a", "b", "r", "temporal", 0.9, None, "t"), (3, "a", None, "r", "causal", 0.5, None, "t"))
+    (got,) = s.read("rel").collect()
+    assert got.base_weight == pytest.approx(((0.8 + 0.6) / 2 + 0.9) / 2) and got.support == ["p1", "p2"] and got.axis == "temporal" and got.axis_counts == {"causal": 1, "temporal": 2}
+    led = spark.createDataFrame([("H", "d", "p"), ("h", "d", "p"), (None, "d", "p")], "span_hash string, doc_id string, section_path string")
+    for _ in range(2):
+        s.add_to_ledger(led)
+        assert [x.span_hash for x in s.read("ledger").collect()] == ["h"]
+
+
+def test_a_local_model_is_loaded_once_a_task(spark):
+    class Model:
+        def __init__(self, name):
+            self.n = len(name)
+
+        def encode(self, texts):
+            return [[self.n, len(t)] for t in texts]
+
+    vectors.register_backend("here", vectors.local_model("abc", Model))
+    d = spark.createDataFrame([("xy",), (None,)], "t string")
+    assert sorted(list(r.v) for r in vectors.embed(d, "t", "v", 2, "here").collect()) == [[3.0, 0.0], [3.0, 2.0]]
+    with pytest.raises(Exception, match="gives 2 numbers, not 64"):
+        vectors.embed(d, "t", "v", 64, "here").collect()
+
+
 def test_positions_beyond_an_int(spark):
     t = spark.createDataFrame([("u", 5000, 1, "A", "B"), ("u", 1, 2_000_000, "B", "C")], "unit_id string, prop_no int, triple_no int, subject string, object string")
     got = {r.surface: tuple(r.first_pos) for r in ingest.surfaces(t).collect()}
