@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from strandweave.axes import AXES, AXIS_TEXTS
 
 MAX_QUESTIONS = 10_000
+CELLS = 4_000_000  # distances that a task holds at once
 _TOKEN = re.compile("[a-z0-9]+")
 _BACKENDS: dict[str, Callable[[int], Callable[[list[str]], np.ndarray]]] = {}
 
@@ -149,19 +150,28 @@ def _nearest(questions: DataFrame, rows: list, vectors: DataFrame, k: int, dim:
             x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             x, own = x[ok], np.array(b.column("id").to_pylist(), object)[ok]
-            every = np.round(1 - m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-            parts: dict = {None: np.arange(len(own))} if scope is None else {}
-            for n, v in enumerate(np.array(b.column(scope).to_pylist(), object)[ok] if scope else ()):
-                parts.setdefault(v, []).append(n)
-            for v, at in parts.items():
-                got = best.setdefault(v, [[] for _ in ids])
-                d = every[:, at]
-                for r in range(len(ids)):
-                    c = np.argpartition(d[r], 4 * k)[: 4 * k] if d.shape[1] > 4 * k else np.arange(d.shape[1])
-                    new = _first(got[r] + list(zip(d[r, c].tolist(), own[at][c].tolist())), k)
-                    if len(new) < k or (d.shape[1] > 4 * k and d[r, c].max() <= new[-1][0]):  # repeats or ties beyond what was looked at
-                        new = _first(got[r] + list(zip(d[r].tolist(), own[at].tolist())), k)
-                    got[r] = new
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            of = np.array(b.column(scope).to_pylist(), object)[ok] if scope else None
+            step = max(64, CELLS // len(ids))  # what is held at once doesn't grow with questions times rows
+            for lo in range(0, len(x), step):
+                names = own[lo : lo + step]
+                every = np.round(1 - m @ x[lo : lo + step].T, 9)
+                parts: dict = {None: np.arange(len(names))} if scope is None else {}
+                for n, v in enumerate(of[lo : lo + step] if scope else ()):
+                    parts.setdefault(v, []).append(n)
+                for v, at in parts.items():
+                    got = best.setdefault(v, [[] for _ in ids])
+                    d, called = every[:, at], names[at]
+                    wide = d.shape[1] > 4 * k
+                    low = np.argpartition(d, 4 * k, axis=1)[:, : 4 * k] if wide else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                    for r in range(len(ids)):
+                        c = low[r]
+                        if len(got[r]) == k and d[r, c].min() > got[r][-1][0]:  # nothing nearer
+                            continue
+                        new = _first(got[r] + list(zip(d[r, c].tolist(), called[c].tolist())), k)
+                        if wide and (len(new) < k or d[r, c].max() <= new[-1][0]):  # repeats or ties beyond what was looked at
+                            new = _first(got[r] + list(zip(d[r].tolist(), called.tolist())), k)
+                        got[r] = new
         for v, got in best.items():
             flat = [(q, i, d) for q, g in zip(ids, got) for d, i in g]
             if flat:
