@@ -1,46 +1,48 @@
-"""Approximate top-k by hyperplane buckets: an index as a table, probed by equi-joins."""
+"""Approximate top-k by hyperplane buckets: a question is compared with the vectors of the buckets near its own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-from strandweave.operators.vectors import cosine, usable
+from strandweave.operators.vectors import top_k, usable
 
 
-def bucketed(df: DataFrame, vec: str, tables: int, bits: int, dim: int, near: int, seed: int = 5) -> DataFrame:
-    """Adds one row per table and bucket of `vec`; near > 0 adds the buckets beyond the `near` closest planes as well."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    shared = df.sparkSession.sparkContext.broadcast(planes)
+def sharing(tables: int, bits: int, near: int, dim: int, seed: int = 5) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+    """For `top_k`: questions -> vectors -> whether they share a bucket in some table; a question falls into those beyond its `near` closest planes as well."""
 
-    @F.pandas_udf("array<struct<t:int,b:int>>")
-    def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        p = shared.value
-        power = 1 << np.arange(p.shape[1])
-        for s in batches:
-            out = []
-            for v in s:
-                m = p @ np.asarray(v, np.float64)
-                own = (m > 0) @ power
-                rows = [{"t": t, "b": int(own[t])} for t in range(len(p))]
-                for t in range(len(p)) if near else ():
-                    rows += [{"t": t, "b": int(own[t] ^ power[j])} for j in np.argsort(np.abs(m[t]))[:near]]
-                out.append(rows)
-            yield pd.Series(out)
+    def meet(questions: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
+        power = 1 << np.arange(bits)
 
-    return df.withColumn("x", F.explode(buckets(F.col(vec)))).select(*df.columns, F.col("x.t").alias("t"), F.col("x.b").alias("b"))
+        def sides(x: np.ndarray) -> np.ndarray:
+            return (x @ planes.T).reshape(len(x), tables, bits)
+
+        m = sides(questions)
+        own = (m > 0) @ power
+        probed = np.zeros((tables, 1 << bits, len(questions)), bool)
+        for t in range(tables):
+            probed[t, own[:, t], np.arange(len(questions))] = True
+            for j in np.argsort(np.abs(m[:, t]), axis=1)[:, :near].T:
+                probed[t, own[:, t] ^ power[j], np.arange(len(questions))] = True
+
+        def met(vectors: np.ndarray) -> np.ndarray:
+            at = (sides(vectors) > 0) @ power
+            out = np.zeros((len(vectors), len(questions)), bool)
+            for t in range(tables):
+                out |= probed[t, at[:, t]]
+            return out.T
+
+        return met
+
+    return meet
 
 
 def bucket_top_k(questions: DataFrame, vectors: DataFrame, k: int, tables: int = 20, bits: int = 6, near: int = 5, dim: int = 64) -> DataFrame:
     """questions(qid, qvec), vectors(id, embedding) -> qid, id, distance, rank among the rows that share a bucket. Without a
-    bucket in common nothing is found, so fewer than k rows may come out; `top_k` is the exact way."""
-    q = bucketed(questions.select("qid", "qvec").where(usable("qvec", dim)), "qvec", tables, bits, dim, near)
-    v = bucketed(vectors.select("id", "embedding").where(usable("embedding", dim)), "embedding", tables, bits, dim, 0)
-    hit = v.join(q, ["t", "b"]).select("qid", "qvec", "id", "embedding").dropDuplicates(["qid", "id"])
-    d = hit.select("qid", "id", F.round(1 - cosine(F.col("qvec"), F.col("embedding")), 9).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    bucket in common nothing is found, so fewer than k rows may come out; `top_k` is the exact way.
+
+    Buckets are told and compared where the vectors lie; only each task's k candidates of a question are moved."""
+    return top_k(questions.where(usable("qvec", dim)), vectors, k, dim, meet=sharing(tables, bits, near, dim))

@@ -110,29 +110,30 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
-def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64, scope: str | None = None, block: int = MAX_QUESTIONS) -> DataFrame:
+def top_k(questions: DataFrame, vectors: DataFrame, k: int, dim: int = 64, scope: str | None = None, block: int = MAX_QUESTIONS, meet: Callable | None = None) -> DataFrame:
     """questions(qid, qvec), vectors(id, embedding) -> qid, id, distance, rank: each question's k nearest by cosine distance,
     equal distances (to 9 digits) by id. Each task keeps k candidates per question; one window merges them. Rows that repeat an id count once. The
     questions go to the tasks in blocks of about `block`, each of which reads the vectors once.
 
     With scope, a text column of vectors, each question asks each value of it alone: k rows per (qid, value), the column in the
-    result; vectors without a value belong to no scope."""
+    result; vectors without a value belong to no scope. With `meet` (see _nearest), a question is compared with some vectors only."""
     q = questions.select("qid", "qvec")
     rows = q.limit(block + 1).collect()
     if len(rows) <= block:
-        parts = [_nearest(q, rows, vectors, k, dim, scope)]
+        parts = [_nearest(q, rows, vectors, k, dim, scope, meet)]
     else:
         n = -(-2 * q.count() // block)
         at = F.pmod(F.xxhash64("qid"), F.lit(n))
-        parts = [_nearest(q, q.where(at == i).collect(), vectors, k, dim, scope) for i in range(n)]
+        parts = [_nearest(q, q.where(at == i).collect(), vectors, k, dim, scope, meet) for i in range(n)]
     by = [scope] if scope else []
     w = W.partitionBy("qid", *by).orderBy("distance", "id")
     part = reduce(DataFrame.unionByName, parts).dropDuplicates(["qid", *by, "id"])
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _nearest(questions: DataFrame, rows: list, vectors: DataFrame, k: int, dim: int, scope: str | None) -> DataFrame:
-    """Each task's k nearest to each of the questions in rows."""
+def _nearest(questions: DataFrame, rows: list, vectors: DataFrame, k: int, dim: int, scope: str | None, meet: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+    """Each task's k nearest to each of the questions in rows. meet(question vectors) gives a function of vectors that tells which of them each question is
+    compared with (a row a question); without it, all."""
     qids = [r["qid"] for r in rows]
     q = np.array([r["qvec"] for r in rows], np.float64).reshape(-1, dim)
     n = np.linalg.norm(q, axis=1, keepdims=True)
@@ -143,6 +144,7 @@ def _nearest(questions: DataFrame, rows: list, vectors: DataFrame, k: int, dim:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = shared.value
         best = {}
+        met = meet(m) if meet else None
         for b in batches:
             b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("embedding")), dim), False))
             if not b.num_rows or not ids:
@@ -156,6 +158,8 @@ def _nearest(questions: DataFrame, rows: list, vectors: DataFrame, k: int, dim:
             for lo in range(0, len(x), step):
                 names = own[lo : lo + step]
                 every = np.round(1 - m @ x[lo : lo + step].T, 9)
+                if met:
+                    every[~met(x[lo : lo + step])] = np.inf
                 parts: dict = {None: np.arange(len(names))} if scope is None else {}
                 for n, v in enumerate(of[lo : lo + step] if scope else ()):
                     parts.setdefault(v, []).append(n)
@@ -173,7 +177,7 @@ def _nearest(questions: DataFrame, rows: list, vectors: DataFrame, k: int, dim:
                             new = _first(got[r] + list(zip(d[r].tolist(), called.tolist())), k)
                         got[r] = new
         for v, got in best.items():
-            flat = [(q, i, d) for q, g in zip(ids, got) for d, i in g]
+            flat = [(q, i, d) for q, g in zip(ids, got) for d, i in g if d < np.inf]
             if flat:
                 cols = [pa.array([f[n] for f in flat]) for n in range(3)] + ([pa.array([v] * len(flat), pa.string())] if scope else [])
                 yield pa.RecordBatch.from_arrays(cols, ["qid", "id", "distance"] + ([scope] if scope else []))

@@ -263,7 +263,7 @@ def q_ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Hyperplane buckets against the exact top-k of entities: recall per question."""
     r = Retrieval(spark, d)
     exact = r.seed_entities.select("qid", "id")
-    near = bucket_top_k(r.questions, graph.live(table(spark, d, "entity")), CFG.retrieve.seed_k_entities).select("qid", "id", F.lit(1).alias("hit"))
+    near = bucket_top_k(r.questions, graph.living(table(spark, d, "entity")), CFG.retrieve.seed_k_entities).select("qid", "id", F.lit(1).alias("hit"))
     return exact.join(near, ["qid", "id"], "left").groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 

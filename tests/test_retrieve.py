@@ -149,6 +149,34 @@ def test_top_k_matches_brute_force(spark):
     assert vectors.top_k(qs, vec.where("false"), 3, 8).count() == 0
 
 
+def test_buckets_move_no_vectors(spark):
+    """What shares a bucket comes out as by definition, and only candidates are moved."""
+    import re
+
+    import numpy as np
+
+    from strandweave.operators.buckets import bucket_top_k
+
+    rng = np.random.default_rng(2)
+    v, q = rng.standard_normal((300, 8)).astype(np.float32).astype(float), rng.standard_normal((6, 8))
+    vec = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(v)] + [("v007", v[7].tolist()), ("bad", None), ("zero", [0.0] * 8)], "id string, embedding array<float>").repartition(5)
+    qs = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(q)] + [("none", [0.0] * 8)], "qid string, qvec array<double>")
+    found = bucket_top_k(qs, vec, 9, tables=2, bits=4, near=1, dim=8)
+    planes = np.random.default_rng(5).standard_normal((2, 4, 8))
+    want = set()
+    for i, a in enumerate(q):
+        near = []
+        for j, b in enumerate(v):
+            for p in planes:
+                apart = np.flatnonzero((p @ a > 0) != (p @ b > 0))
+                if not len(apart) or apart.tolist() == [np.argmin(np.abs(p @ a))]:
+                    near.append((round(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), 9), f"v{j:03d}"))
+        want |= {(f"q{i}", x, r + 1) for r, (_, x) in enumerate(sorted(set(near))[:9])}
+    assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search("Join", plan)
+
+
 def test_backends(spark):
     with pytest.raises(ValueError):
         vectors.embed(spark.createDataFrame([("x",)], "t string"), "t", "v", provider="none")
