@@ -255,3 +255,13 @@ def test_true_pairs_unlike_those_of_the_first_batch_are_found(spark):
     want = _greedy(spans, [])
     assert len([w for w in want if w[2] >= "s00300"]) == 60
     assert _found(spark, spans, []) == want
+
+
+def test_what_tells_nodes_in_pairs_does_not_grow_with_them(spark, tmp_path):
+    """Node slots go to the tasks as a bit map: many nodes, few rows to broadcast."""
+    link = incremental.Linker(spark, str(tmp_path / "met"))
+    nodes = spark.range(-3000, 60_000).select(F.col("id").alias("node"))
+    pairs = spark.range(-64, 6400).select(F.col("id").alias("a"))
+    met = link._met(nodes, pairs, "a")
+    assert sorted(r.node for r in met.collect()) == list(range(-64, 6400))
+    assert "bit_or" in met._jdf.queryExecution().optimizedPlan().toString()
