@@ -66,17 +66,26 @@ def pieces(n_words: int, min_words: int, max_edits: int) -> tuple[int, list[int]
     return length, list(range(0, n_words - length + 1, length))
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, computed once for each word of a task's batch."""
+class WordHashes(dict):
+    """word -> 64-bit hash, computed once for each word of a task's batches."""
 
-    def __missing__(self, w: str) -> int:
-        import xxhash
+    def __init__(self) -> None:
+        from xxhash import xxh64_intdigest
 
-        h = self[w] = xxhash.xxh64_intdigest(w)
+        super().__init__()
+        self.hash = xxh64_intdigest
+
+    def __missing__(self, w: str | bytes) -> int:
+        h = self[w] = self.hash(w)
         return h
 
+    def bounded(self, most: int = 1 << 18) -> None:
+        """Forgets all words once there are more than `most`."""
+        if len(self) > most:
+            self.clear()
+
 
-def run_hashes(w: list[str], length: int, known: _Hashes) -> np.ndarray:
+def run_hashes(w: list[str], length: int, known: WordHashes) -> np.ndarray:
     """The hash of each run of `length` words, by where it starts."""
     if len(w) < length:
         return np.zeros(0, np.uint64)
@@ -93,7 +102,7 @@ def item_pieces(items: DataFrame, fields: list[str], min_words: int, max_edits:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out, known = [], _Hashes()
+            out, known = [], WordHashes()
             for i, f, t in zip(x["item_id"], x["field"], x["text"]):
                 w = words(t)
                 if len(w) < min_words:
@@ -154,7 +163,7 @@ def leaks(docs: DataFrame, items: DataFrame, fields: list[str], min_words: int =
     side = min_words - length + max_edits  # words that a window may hold on either side of a piece
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, known = shared.value, _Hashes()
+        bits, known = shared.value, WordHashes()
         for x in batches:
             out = []
             if len(known) > 1_000_000:

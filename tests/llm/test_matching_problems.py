@@ -1,9 +1,13 @@
 import random
+from functools import reduce
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.llm import catalog, incremental, neighbours
+from strandweave.llm.leakage import WordHashes
+from strandweave.session import shared_dir
 
 # ---------------------------------------------------------------- 2
 
@@ -265,3 +269,40 @@ def test_what_tells_nodes_in_pairs_does_not_grow_with_them(spark, tmp_path):
     met = link._met(nodes, pairs, "a")
     assert sorted(r.node for r in met.collect()) == list(range(-64, 6400))
     assert "bit_or" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_step_leaves_its_state_and_result_only(spark, tmp_path):
+    """Tables of a step that has ended take no disk during later ones, and the result can still be read."""
+    spans, bufs = _batches(14, 90)
+    u = incremental.units(spark.createDataFrame(spans, SPAN), spark.createDataFrame(bufs, BUFFER))
+    at = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(at.iterdir())
+    got = incremental.Linker(spark, str(tmp_path / "state")).step(u)
+    left = {p for p in set(at.iterdir()) - before if list(p.rglob("*.parquet"))}
+    assert {p.name.split("-")[0] for p in left} == {"found"} and len(left) == 1
+    assert {(r.unit, r.first.id, r.ord.id) for r in got.collect()} == _greedy(spans, bufs)
+
+
+def test_a_text_is_hashed_once_for_keys_of_all_eras_and_signature():
+    class Counted(WordHashes):
+        def __init__(self):
+            super().__init__()
+            plain, self.calls = self.hash, 0
+            self.hash = lambda w: (setattr(self, "calls", self.calls + 1), plain(w))[1]
+
+    rnd, known = random.Random(3), Counted()
+    texts = [" ".join(f"w{rnd.randrange(30)}" for _ in range(n)) for n in (0, 1, 2, 3, 9, 40, 40)] + [" ".join(f"{x:04x}" for x in range(n)) for n in (1, 8)]
+    kinds = ["span"] * 7 + ["buffer"] * 2
+    row, key, take, n, sign = incremental.grams(kinds, texts, known)
+    sketches = [np.array([rnd.randrange(60) for _ in range(1 << 10)], np.uint8) for _ in range(2)]
+    made = [incremental.blocking_keys(row, key, take, s) for s in sketches]
+    assert known.calls <= 30 + 3 + 9  # words, texts too short for a gram, elements
+    for s, (r, k, need) in zip(sketches, made):
+        for i, (kind, t) in enumerate(zip(kinds, texts)):
+            w = t.split()
+            p = len(w) - -(-3 * len(w) // 4) + 1 if kind == "buffer" else 1 if len(w) < 3 else 3 * (len(w) // 7) + 1
+            every = sorted({int(x) for x in key[row == i]}, key=lambda x: (s[x % len(s)], x))
+            assert list(k[r == i]) == every[: p + 2] and need[i] == min(3, max(1, len(every) - p + 1)) and n[i] == len(w)
+            bits = reduce(int.__xor__, [1 << (WordHashes()[x] % incremental.SIGNATURE_BITS) for x in w], 0)
+            assert int(sign[i]) == bits
+    assert [int((row == i).sum()) for i in range(9)] == [1, 1, 1, 1, 7, 38, 38, 1, 8]
