@@ -3,7 +3,7 @@
 Pigeonhole edit matching. An item's text is cut into pieces so that every window of `min_words` words holds
 max_edits + 1 whole pieces side by side; a passage with at most `max_edits` wrong words then holds at least one piece unharmed. The items stay a
 table. Of their pieces a bit map of fixed size (`BITS`) goes to the tasks that read the pages, once and whole: what the map does not know is no
-piece. The few places that it does know are joined with the pieces on their hash, carrying the words around them, and each exact hit is verified by Myers'
+piece. Pages are cut to words and hashed many at a time, as arrays of letters. The few places that the map does know are joined with the pieces on their hash, carrying the words around them, and each exact hit is verified by Myers'
 bit-parallel distance (over words) of the item's windows around that piece. More items fill the map and let more places pass, but none
 is lost, and neither side is collected; a piece that many items or pages hold is a skewed join key, which adaptive execution splits.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 _NOT_WORD = re.compile(r"[\W_]+")
 BITS = 1 << 25
+PART = 1 << 18  # letters whose words a task holds at a time, or one page
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93  # odd: has an inverse
+_POWERS: list[np.ndarray] = []
+_ODD = re.compile("[\u0130\u03a3\U00010000-\U0010ffff]")
 
 
 def words(text: str) -> list[str]:
@@ -66,35 +70,60 @@ def pieces(n_words: int, min_words: int, max_edits: int) -> tuple[int, list[int]
     return length, list(range(0, n_words - length + 1, length))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once for each word of a task's batches."""
+@cache
+def _letters() -> np.ndarray:
+    """For each character below U+10000 its lower case, 0 if that is no letter or digit."""
+    low = [chr(c).lower() for c in range(1 << 16)]
+    return np.array([ord(x) if len(x) == 1 and x.isalnum() else 0 for x in low], np.uint32)
 
-    def __init__(self) -> None:
-        from xxhash import xxh64_intdigest
 
-        super().__init__()
-        self.hash = xxh64_intdigest
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse modulo 2 ** 64, n or more."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 2 * PART)
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
 
-    def __missing__(self, w: str | bytes) -> int:
-        h = self[w] = self.hash(w)
-        return h
 
-    def bounded(self, most: int = 1 << 18) -> None:
-        """Forgets all words once there are more than `most`."""
-        if len(self) > most:
-            self.clear()
+def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words() of all texts, without an object for each: lower-case letters (0 between words), where words start and end in them, and how many each text has.
 
+    A text with a character beyond U+FFFF, or one whose lower case isn't one character for itself alone, goes through words()."""
+    texts = [" ".join(words(t)) if not t.isascii() and _ODD.search(t) else t for t in texts]
+    c = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    low = _letters()[np.minimum(c, 0xFFFF)]
+    far = np.flatnonzero(c > 0xFFFF)
+    low[far] = c[far]  # of words already
+    edge = np.flatnonzero(np.diff(low != 0, prepend=False, append=False))
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+    return low, edge[::2], edge[1::2], np.diff(np.searchsorted(edge[::2], begin), append=len(edge) // 2)
 
-def run_hashes(w: list[str], length: int, known: WordHashes) -> np.ndarray:
-    """The hash of each run of `length` words, by where it starts."""
-    if len(w) < length:
-        return np.zeros(0, np.uint64)
-    h = np.array([known[x] for x in w], np.uint64)
-    out = np.zeros(len(w) - length + 1, np.uint64)
+
+def run_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each run of `length` words within a text, its first word by number among all, and the text it is of (of what word_places gives).
+
+    A word's hash is a polynomial of its letters, a difference of two prefix sums; equal words have equal hashes, and clashes are told when words are compared."""
+    power, inverse = _powers(len(low) + 1)
+    sums = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum(low * power[: len(low)], out=sums[1:])
+    h = (sums[end] - sums[start]) * inverse[start]
+    h = (h ^ (h >> np.uint64(32))) * _MULT
+    many = max(0, len(h) - length + 1)
+    out = np.zeros(many, np.uint64)
     for i in range(length):
-        out = (out ^ h[i : i + len(out)]) * _MULT
+        out ^= h[i : i + many]
+        out *= _MULT
         out ^= out >> np.uint64(31)
-    return out
+    text = np.repeat(np.arange(len(n)), n)
+    whole = np.flatnonzero(text[:many] == text[length - 1 :])
+    return out[whole], whole, text[whole]
+
+
+def _in_parts(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+    """Pages in parts of about PART letters, one page at least."""
+    ends = np.cumsum([len(t) for t in texts]) // PART
+    cut = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    return ((ids[a:b], texts[a:b]) for a, b in zip(cut, cut[1:]) if a < b)
 
 
 def item_pieces(items: DataFrame, fields: list[str], min_words: int, max_edits: int) -> DataFrame:
@@ -102,13 +131,13 @@ def item_pieces(items: DataFrame, fields: list[str], min_words: int, max_edits:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out, known = [], WordHashes()
+            out = []
             for i, f, t in zip(x["item_id"], x["field"], x["text"]):
                 w = words(t)
                 if len(w) < min_words:
                     continue
                 length, starts = pieces(len(w), min_words, max_edits)
-                h = run_hashes(w, length, known)
+                h, *_ = run_hashes(*word_places([t]), length)
                 for s in starts:
                     lo = max(0, s + length - min_words)
                     out.append((int(h[s].astype(np.int64)), i, f, s - lo, " ".join(w[lo : s + min_words])))
@@ -163,18 +192,19 @@ def leaks(docs: DataFrame, items: DataFrame, fields: list[str], min_words: int =
     side = min_words - length + max_edits  # words that a window may hold on either side of a piece
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, known = shared.value, WordHashes()
+        bits = shared.value
         for x in batches:
             out = []
-            if len(known) > 1_000_000:
-                known.clear()
-            for d, t in zip(x["doc_id"], x["text"]):
-                w = words(t)
-                h = run_hashes(w, length, known)
+            for ids, texts in _in_parts(x["doc_id"].tolist(), x["text"].tolist()):
+                low, start, end, n = word_places(texts)
+                h, first, page = run_hashes(low, start, end, n, length)
                 slot = h % np.uint64(BITS)
-                for p in np.flatnonzero((bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1).tolist():
-                    lo = max(0, p - side)
-                    out.append((d, int(h[p].astype(np.int64)), p - lo, " ".join(w[lo : p + length + side])))
+                hits = np.flatnonzero((bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1)
+                own, last = (np.cumsum(n) - n)[page[hits]], np.cumsum(n)[page[hits]]  # the page's words, by number
+                lo, hi = np.maximum(own, first[hits] - side), np.minimum(last, first[hits] + length + side)
+                low[low == 0] = 32
+                for g, p, a, d, i in zip(h[hits].astype(np.int64).tolist(), page[hits].tolist(), start[lo].tolist(), end[hi - 1].tolist(), (first[hits] - lo).tolist()):
+                    out.append((ids[p], g, i, " ".join(low[a:d].tobytes().decode("utf-32-le").split())))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "at", "passage"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

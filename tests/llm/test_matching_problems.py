@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.llm import catalog, incremental, neighbours
-from strandweave.llm.leakage import WordHashes
+from strandweave.llm.incremental import WordHashes
 from strandweave.session import shared_dir
 
 # ---------------------------------------------------------------- 2

@@ -92,6 +92,26 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(docs, evals.where("false"), ["question"]).count() == 0
 
 
+def test_words_of_many_texts_at_once_are_those_of_each():
+    """Also where a lower case has two characters or depends on what stands around it, beyond 16 bits, and where texts meet."""
+    rnd = random.Random(5)
+    odd = list("aB1_ .'-\n\t\x00\x1c") + list("ÀßİıΑΣσς١²ªǅ—’\u0345\u200b\u3000ꙮ𝔄𐐀😀")
+    texts = ["", "ΑΣ.Α ΑΣ 'Σ", "İstanbul", "one two", "", "three 𐐀x"] + ["".join(rnd.choice(odd) for _ in range(rnd.randrange(12))) for _ in range(5000)]
+    texts += ["a" + chr(c) + "B" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    low, start, end, n = leakage.word_places(texts)
+    w = iter([low[a:b].tobytes().decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist())])
+    assert [[next(w) for _ in range(k)] for k in n.tolist()] == [leakage.words(t) for t in texts]
+
+
+def test_runs_of_words_end_where_a_text_ends():
+    texts = ["one two", "three four five six seven", "", "x; THREE four, Five six"]
+    h, first, text = leakage.run_hashes(*leakage.word_places(texts), 4)
+    assert first.tolist() == [2, 3, 7, 8] and text.tolist() == [1, 1, 3, 3] and h[0] == h[3] and len(set(h.tolist())) == 3
+    parts = list(leakage._in_parts(["a", "b", "c"], ["x" * leakage.PART, "y" * (3 * leakage.PART), "z"]))
+    assert [i for p, _ in parts for i in p] == ["a", "b", "c"] and all(ids for ids, _ in parts)
+    assert list(leakage._in_parts([], [])) == []
+
+
 # ---------------------------------------------------------------- 7
 
 
